@@ -76,19 +76,30 @@ def sigmoid_class(z: Column | str) -> Column:
     return F.rint(sigmoid(z)).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it in ``body`` (a Column -> Column function).
+
+    Catalyst does not share common subexpressions inside higher-order
+    function lambdas, so an array referenced inside a lambda would be
+    recomputed per element; binding it through a one-element ``transform``
+    evaluates it exactly once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column | str) -> Column:
-    """max-shifted softmax of an array."""
+    """max-shifted softmax of an array (each intermediate computed once)."""
     z = _c(logits)
-    m = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    return let(F.array_max(z), lambda m:
+               let(F.transform(z, lambda v: F.exp(v - m)), lambda e:
+                   let(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda s:
+                       F.transform(e, lambda v: v / s))))
 
 
 def logsumexp(logits: Column | str) -> Column:
     z = _c(logits)
-    m = F.array_max(z)
-    return m + F.log(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    return let(F.array_max(z), lambda m:
+               m + F.log(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))))
 
 
 def argmax(logits: Column | str) -> Column:

@@ -1,3 +1,4 @@
 """Import every plan module so that all queries are registered."""
 
 from helixframe.plans import select_queries  # noqa: F401
+from helixframe.plans import token_queries  # noqa: F401

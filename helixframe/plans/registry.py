@@ -39,20 +39,29 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for name, dtype in df.dtypes:
         c = F.col(name)
         if dtype in ("double", "float"):
-            c = F.round(c.cast("double"), digits)
+            c = round_half_even(c, digits)
         elif dtype in ("array<double>", "array<float>"):
-            c = F.transform(c, lambda x: F.round(x.cast("double"), digits))
+            c = F.transform(c, lambda x: round_half_even(x, digits))
         out.append(c.alias(name))
     return df.select(*out)
 
 
+def round_half_even(c, digits: int = DIGITS):
+    """rint(x * 10^d) / 10^d (+0.0 folds -0.0): the same IEEE operations as
+    the SQL side, so both engines give bit-identical doubles."""
+    scale = float(10 ** digits)
+    return F.rint(c.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
+
+
 def _round_expr(name: str, dtype: str, digits: int) -> str | None:
     q = '"' + name.replace('"', '""') + '"'
     t = dtype.upper()
+    scale = f"CAST({10 ** digits} AS DOUBLE)"
     if t in ("DOUBLE", "FLOAT", "REAL"):
-        return f"round(CAST({q} AS DOUBLE), {digits}) AS {q}"
+        return f"round_even(CAST({q} AS DOUBLE) * {scale}, 0) / {scale} + CAST(0.0 AS DOUBLE) AS {q}"
     if t in ("DOUBLE[]", "FLOAT[]"):
-        return f"list_transform({q}, lambda v: round(CAST(v AS DOUBLE), {digits})) AS {q}"
+        return (f"list_transform({q}, lambda v: round_even(CAST(v AS DOUBLE) * {scale}, 0) / {scale}"
+                f" + CAST(0.0 AS DOUBLE)) AS {q}")
     return None
 
 

@@ -79,12 +79,16 @@ def marker_found(seq: Column | str, marker: str) -> Column:
 def dinucleotide_pairs(seq: Column | str) -> Column:
     """Width-2 windows, step 1, of the upper-cased sequence.
 
-    ``sequence(1, 0)`` counts down in Spark, so short inputs are guarded.
+    One linear regex pass with a look-ahead group: ``substring`` at every
+    position would rescan the UTF-8 string from its start each time
+    (quadratic per row).  Strings shorter than 2 give an empty array.
     """
-    s = F.upper(_c(seq))
-    n = F.length(s)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, 2))) \
-        .otherwise(F.array().cast("array<string>"))
+    return windows(F.upper(_c(seq)), 2)
+
+
+def windows(seq: Column | str, k: int) -> Column:
+    """All overlapping length-k windows, in order, as ``array<string>``."""
+    return F.regexp_extract_all(_c(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
 
 
 def _table_map(table: str) -> Column:
@@ -125,10 +129,11 @@ def reverse_complement(seq: Column | str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """All overlapping k-mers as ``array<struct<pos:int, kmer:string>>`` (0-based pos)."""
-    s = _c(seq)
-    n = F.length(s)
-    return F.when(n >= k, F.transform(
-        F.sequence(F.lit(1), n - k + 1),
-        lambda i: F.struct((i - 1).alias("pos"), F.substring(s, i, k).alias("kmer")))) \
-        .otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
+    """All overlapping k-mers, in order (index = 0-based start position)."""
+    return windows(seq, k)
+
+
+def matching_letters(a: Column | str, b: Column | str) -> Column:
+    """Number of positions where two equally long strings agree (linear)."""
+    return F.aggregate(F.zip_with(F.split(_c(a), ""), F.split(_c(b), ""), lambda x, y: (x == y).cast("int")),
+                       F.lit(0), lambda acc, v: acc + v)

@@ -3,3 +3,4 @@
 from helixframe.plans import select_queries  # noqa: F401
 from helixframe.plans import token_queries  # noqa: F401
 from helixframe.plans import feature_queries  # noqa: F401
+from helixframe.plans import metric_queries  # noqa: F401

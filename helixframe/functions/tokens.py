@@ -65,7 +65,7 @@ def attention_mask(tokens: Column | str, width: Column | int) -> Column:
 def token_diversity(tokens: Column | str) -> Column:
     """Per sequence: distinct tokens / length (A24 averages it)."""
     t = _c(tokens)
-    return F.size(F.array_distinct(t)) / F.size(t)
+    return F.try_divide(F.size(F.array_distinct(t)), F.size(t))
 
 
 def ngrams(words: Column | str, n: int) -> Column:

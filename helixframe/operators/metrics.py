@@ -81,18 +81,19 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("y_true"), F.col(p).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def binary_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
+def binary_metrics(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """A12 from 0/1 predictions: accuracy, precision, recall, F1, MCC
-    (undefined ratios are 0, as with zero_division=0)."""
+    (undefined ratios are 0, as with zero_division=0); per group with ``by``."""
     yc, pc = F.col(y), F.col(pred)
-    c = df.agg(F.sum(((yc == 1) & (pc == 1)).cast("long")).alias("tp"),
+    by = by or []
+    c = df.groupBy(*by).agg(F.sum(((yc == 1) & (pc == 1)).cast("long")).alias("tp"),
                F.sum(((yc == 0) & (pc == 1)).cast("long")).alias("fp"),
                F.sum(((yc == 0) & (pc == 0)).cast("long")).alias("tn"),
                F.sum(((yc == 1) & (pc == 0)).cast("long")).alias("fn"))
     tp, fp, tn, fn = (F.col(k).cast("double") for k in ("tp", "fp", "tn", "fn"))
     denom = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return c.select(
-        "tp", "fp", "tn", "fn",
+        *by, "tp", "fp", "tn", "fn",
         _safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"),
         _safe_div(tp, tp + fp).alias("precision"),
         _safe_div(tp, tp + fn).alias("recall"),

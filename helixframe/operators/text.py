@@ -32,8 +32,9 @@ METHOD4_K = 5.0
 def sentence_ngrams(df: DataFrame, keys: list[str], text: str, max_order: int = MAX_ORDER) -> DataFrame:
     """``(keys..., n, gram, c)``: n-gram counts per sentence."""
     w = df.select(*keys, split_words(text).alias("__w"))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), ngrams("__w", n).alias("g")) for n in range(1, max_order + 1)])
-    e = w.select(*keys, F.inline(grams)).select(*keys, "n", F.explode("g").alias("gram"))
+    grams = F.array(*[F.struct(F.lit(n).alias("__n"), ngrams("__w", n).alias("__g"))
+                      for n in range(1, max_order + 1)])
+    e = w.select(*keys, F.inline(grams)).select(*keys, F.col("__n").alias("n"), F.explode("__g").alias("gram"))
     return e.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 

@@ -202,7 +202,8 @@ def nucleus_filter(logits: Column, p: float) -> Column:
                let(F.aggregate(F.sort_array(probs, asc=False), init,
                                lambda acc, x: F.struct(
                                    (acc["mass"] + x).alias("mass"),
-                                   F.when(acc["mass"] < p, x).otherwise(acc["thr"]).alias("thr"))),
+                                   F.when((acc["mass"] < p) | acc["thr"].isNull(), x)
+                                   .otherwise(acc["thr"]).alias("thr"))),
                    lambda st: F.zip_with(logits, probs, lambda z, q: F.when(q >= st["thr"], z)
                                          .otherwise(F.lit(float("-inf"))))))
 

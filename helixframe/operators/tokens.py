@@ -214,3 +214,18 @@ def topk_long(cands: DataFrame, key: str, score: str, k: int = TOP_K) -> DataFra
     w = Window.partitionBy(key).orderBy(F.col(score).desc())
     return cands.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= k).drop("__r")
 
+
+
+# ---------------------------------------------------------- strategies
+def corrupt_with(tokens: DataFrame, strategy: str, seed: int, mask_id: int = MASK_ID) -> DataFrame:
+    """Pluggable corruption.  ``independent`` masks tokens one by one
+    (F17); ``whole_word`` then lets every continuation piece follow its word
+    head (W11).  Needs ``row_id, pos, token_id, t, keep_prob`` and, for
+    whole words, ``is_continuation``."""
+    noised = corrupt(tokens, seed, mask_id=mask_id)
+    if strategy == "independent":
+        return noised
+    if strategy == "whole_word":
+        ww = whole_word_mask(noised.withColumn("masked", F.col("noised") == mask_id))
+        return ww.withColumn("noised", F.when(F.col("ww_masked"), F.lit(mask_id)).otherwise(F.col("token_id")))
+    raise ValueError(strategy)

@@ -7,3 +7,5 @@ from helixframe.plans import metric_queries  # noqa: F401
 from helixframe.plans import fold_queries  # noqa: F401
 from helixframe.plans import region_queries  # noqa: F401
 from helixframe.plans import text_queries  # noqa: F401
+from helixframe.plans import model_queries  # noqa: F401
+from helixframe.plans import io_queries  # noqa: F401

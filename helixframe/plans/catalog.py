@@ -9,3 +9,4 @@ from helixframe.plans import region_queries  # noqa: F401
 from helixframe.plans import text_queries  # noqa: F401
 from helixframe.plans import model_queries  # noqa: F401
 from helixframe.plans import io_queries  # noqa: F401
+from helixframe.plans import stream_queries  # noqa: F401

@@ -9,6 +9,8 @@ values (normalised log scale), kept when the relative error is below 0.1.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,13 +218,14 @@ _SQL_C5 = (f"WITH {_SQL_MATS}, acc0 AS (SELECT vec_id, z, "
 register("region_similarity", sql=_SQL_C5)(region_similarity)
 
 
-@register("sink_region_similarity")
+@register("sink_region_similarity", sql=_SQL_C5)
 def q_sink_region_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """C5 written as a headered CSV under the shared checkpoint folder
-    and read back (rows-only check: the file round trip)."""
-    path = scratch_path(spark, f"region_similarity_{abs(hash(d)) % 10**8}")
-    region_similarity(spark, d).write.mode("overwrite").option("header", True).csv(path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """C5 written as one headered CSV row per sequence under the shared
+    checkpoint folder, read back with its schema."""
+    path = scratch_path(spark, f"region_similarity-{uuid.uuid4().hex}")
+    out = region_similarity(spark, d)
+    out.write.mode("overwrite").option("header", True).csv(path)
+    return spark.read.option("header", True).schema(out.schema).csv(path)
 
 
 @register("metrics_long", sql="WITH reg AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS pred FROM lineitem), "

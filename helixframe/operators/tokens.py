@@ -60,10 +60,14 @@ def full_vocabulary(words: DataFrame) -> DataFrame:
 def encode_long(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Word -> id by an equi-join on the word.
 
-    The vocabulary grows with the corpus, so it is not force-broadcast; a
-    very frequent word is a skewed key that AQE's skew-join split handles.
+    The vocabulary grows with the corpus, so it is not force-broadcast.  It
+    is the build side of a shuffled hash join: its keys are unique (no
+    build-side skew) and the much larger token side is streamed without
+    being sorted.  A very frequent word is a skewed probe key that AQE's
+    skew-join split handles.
     """
-    return words.join(vocab.select("word", "token_id"), "word").select("row_id", "pos", "token_id")
+    return words.join(vocab.select("word", "token_id").hint("shuffle_hash"), "word") \
+        .select("row_id", "pos", "token_id")
 
 
 def collect_ordered(long: DataFrame, key: str, pos: str, value: str, name: str) -> DataFrame:
@@ -97,8 +101,14 @@ def token_freq_lookup(tokens: DataFrame, wf: DataFrame) -> DataFrame:
 
 
 def centred_word_freq(tokens_wf: DataFrame) -> DataFrame:
-    """A3: wf minus its mean over the same sequence (window per row)."""
-    return tokens_wf.withColumn("wf_centred", F.col("wf") - F.avg("wf").over(Window.partitionBy("row_id")))
+    """A3: wf minus its mean over the same sequence.
+
+    The per-sequence mean is a hash aggregate (partial sums map-side, one row
+    per sequence) joined back as the build side of a shuffled hash join, so
+    the token table is never sorted."""
+    means = tokens_wf.groupBy("row_id").agg(F.avg("wf").alias("__wf_mean"))
+    return (tokens_wf.join(means.hint("shuffle_hash"), "row_id")
+                     .withColumn("wf_centred", F.col("wf") - F.col("__wf_mean")).drop("__wf_mean"))
 
 
 # -------------------------------------------------------------- schedules

@@ -80,9 +80,22 @@ def _token_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded tokens and A2.  Every word maps to exactly one id, so the
+    token counts A1 would produce are the vocabulary's own word counts; A2 is
+    computed from those instead of regrouping the whole token table."""
     words, vocab, toks = _vocab_and_tokens(spark, d)
     full = T.special_vocabulary(spark).unionByName(vocab)
-    return toks, T.word_freq(T.token_counts(toks, full))
+    return toks, T.word_freq(full.select("token_id", "n"))
+
+
+def _tokens_wf(spark: SparkSession, d: str) -> DataFrame:
+    """``(row_id, pos, word, token_id, wf)`` with one token-level join: id and
+    frequency are attached to the (vocabulary-sized) lookup first."""
+    words = _words(spark, d)
+    vocab = T.build_vocabulary(words)
+    full = T.special_vocabulary(spark).unionByName(vocab)
+    lookup = vocab.select("word", "token_id").join(T.word_freq(full.select("token_id", "n")), "token_id")
+    return words.join(lookup.hint("shuffle_hash"), "word").select("row_id", "pos", "word", "token_id", "wf")
 
 
 def _doc_step(row_id: F.Column) -> F.Column:
@@ -118,8 +131,8 @@ def q_token_freq_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @register("centred_word_freq", sql=f"WITH {SQL_TOKENS} SELECT row_id, pos, token_id, wf_centred FROM centred")
 def q_centred_word_freq(spark: SparkSession, d: str) -> DataFrame:
-    toks, wf = _wf(spark, d)
-    return finish(T.centred_word_freq(T.token_freq_lookup(toks, wf)).drop("wf"))
+    c = T.centred_word_freq(_tokens_wf(spark, d))
+    return finish(c.select("row_id", "pos", "token_id", "wf_centred"))
 
 
 _SQL_ENC = f"""
@@ -268,10 +281,11 @@ def q_noise_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keep(spark: SparkSession, d: str) -> DataFrame:
-    toks, wf = _wf(spark, d)
-    c = T.centred_word_freq(T.token_freq_lookup(toks, wf))
+    """Tokens with wf, centred wf, the document's step t (a hash of the
+    document id, computed in place) and the survival at t (broadcast: T+1 rows)."""
+    c = T.centred_word_freq(_tokens_wf(spark, d)).withColumn("t", _doc_step(F.col("row_id")))
     s = _schedule(spark).select("t", "survival_mutual")
-    c = c.join(_doc_steps(spark, d), "row_id").join(F.broadcast(s), "t")
+    c = c.join(F.broadcast(s), "t")
     return c.withColumn("keep_prob", T.keep_probability(F.col("survival_mutual"), F.col("wf_centred"),
                                                         F.col("t"), STEPS))
 
@@ -314,11 +328,9 @@ def q_corrupt_corpus(spark: SparkSession, d: str) -> DataFrame:
 def q_whole_word_mask(spark: SparkSession, d: str) -> DataFrame:
     """W11 with words as pieces: a piece not starting with a capital continues
     the previous one; the corruption draw (F17) decides which heads are masked."""
-    noised = T.corrupt(_keep(spark, d), SEED).select("row_id", "pos", "noised")
-    words = _words(spark, d)
-    pieces = noised.join(words, ["row_id", "pos"]).select(
-        "row_id", "pos", (F.col("noised") == TF.MASK_ID).alias("masked"),
-        (~F.col("word").rlike("^[A-Z]")).alias("is_continuation"))
+    noised = T.corrupt(_keep(spark, d), SEED)
+    pieces = noised.select("row_id", "pos", (F.col("noised") == TF.MASK_ID).alias("masked"),
+                           (~F.col("word").rlike("^[A-Z]")).alias("is_continuation"))
     return T.whole_word_mask(pieces).select("row_id", "pos", "masked", "is_continuation", "ww_masked")
 
 

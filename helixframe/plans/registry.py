@@ -46,22 +46,34 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
+SIGNIFICANT = 10
+
+
 def round_half_even(c, digits: int = DIGITS):
-    """rint(x * 10^d) / 10^d (+0.0 folds -0.0): the same IEEE operations as
-    the SQL side, so both engines give bit-identical doubles."""
-    scale = float(10 ** digits)
-    return F.rint(c.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
+    """rint(x * 10^d) / 10^d (+0.0 folds -0.0) with d = min(digits, 10 - 1 -
+    floor(log10|x|)) clamped at 0: six decimals for ordinary values, ten
+    significant digits for large sums (whose last bits depend on summation
+    order).  The SQL side applies the same IEEE operations."""
+    x = c.cast("double")
+    d = F.least(F.greatest(F.lit(SIGNIFICANT - 1) - F.floor(F.log10(F.abs(x))), F.lit(0)), F.lit(digits))
+    scale = F.pow(F.lit(10.0), d)
+    plain = F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0)
+    return F.when(plain, x + F.lit(0.0)).otherwise(F.rint(x * scale) / scale + F.lit(0.0))
 
 
 def _round_expr(name: str, dtype: str, digits: int) -> str | None:
     q = '"' + name.replace('"', '""') + '"'
     t = dtype.upper()
-    scale = f"CAST({10 ** digits} AS DOUBLE)"
+    def rnd(v: str) -> str:
+        x = f"CAST({v} AS DOUBLE)"
+        d = f"least(greatest({SIGNIFICANT - 1} - floor(log10(abs({x}))), 0), {digits})"
+        scale = f"pow(CAST(10.0 AS DOUBLE), {d})"
+        return (f"CASE WHEN isnan({x}) OR isinf({x}) OR {x} = 0 THEN {x} + CAST(0.0 AS DOUBLE) "
+                f"ELSE round_even({x} * {scale}, 0) / {scale} + CAST(0.0 AS DOUBLE) END")
     if t in ("DOUBLE", "FLOAT", "REAL"):
-        return f"round_even(CAST({q} AS DOUBLE) * {scale}, 0) / {scale} + CAST(0.0 AS DOUBLE) AS {q}"
+        return f"{rnd(q)} AS {q}"
     if t in ("DOUBLE[]", "FLOAT[]"):
-        return (f"list_transform({q}, lambda v: round_even(CAST(v AS DOUBLE) * {scale}, 0) / {scale}"
-                f" + CAST(0.0 AS DOUBLE)) AS {q}")
+        return f"list_transform({q}, lambda v: {rnd('v')}) AS {q}"
     return None
 
 

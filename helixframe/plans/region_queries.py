@@ -89,14 +89,14 @@ def q_region_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("region_pair_join", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
-          "SELECT vec_id, pair, len(a) AS a_len, len(b) AS b_len FROM rp")
+          "SELECT vec_id, pair, CAST(len(a) AS INTEGER) AS a_len, CAST(len(b) AS INTEGER) AS b_len FROM rp")
 def q_region_pair_join(spark: SparkSession, d: str) -> DataFrame:
     """The ten region pairs of every sequence."""
     return _pairs(spark, d).select("vec_id", "pair", F.size("a").alias("a_len"), F.size("b").alias("b_len"))
 
 
 @register("token_pair_cross", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
-          "SELECT vec_id, pair, len(a) * len(b) AS n_pairs, "
+          "SELECT vec_id, pair, CAST(len(a) * len(b) AS INTEGER) AS n_pairs, "
           "list_sum(list_transform(a, lambda u: list_sum(list_transform(b, lambda v: list_dot_product(u, v))))) "
           "/ (len(a) * len(b)) AS mean_dot FROM rp WHERE len(a) > 0 AND len(b) > 0")
 def q_token_pair_cross(spark: SparkSession, d: str) -> DataFrame:

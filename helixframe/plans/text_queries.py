@@ -105,7 +105,8 @@ SQL_PAIRS = (r"hyp AS (SELECT h.conv_id, h.turn, list_filter(string_split_regex(
              "lambda x: x <> '') AS w FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id "
              "AND h.turn = r.turn - 1), "
              f"{sql_grams('hyp', 'conv_id, turn', 'hc')}, {sql_grams('ref', 'conv_id, turn', 'rc')}, "
-             "rj AS (SELECT hc.conv_id, hc.turn, hc.n, sum(least(hc.c, coalesce(rc.c, 0))) AS num, sum(hc.c) AS den "
+             "rj AS (SELECT hc.conv_id, hc.turn, hc.n, CAST(sum(least(hc.c, coalesce(rc.c, 0))) AS BIGINT) AS num, "
+             "CAST(sum(hc.c) AS BIGINT) AS den "
              "FROM hc LEFT JOIN rc USING (conv_id, turn, n, gram) GROUP BY ALL)")
 
 

@@ -171,3 +171,20 @@ def test_global_row_number_partition_independent(spark):
     kb = dict(b.select("o_orderkey", "rn").collect())
     assert len(ka) == o.count()
     assert ka == kb and sorted(ka.values()) == list(range(1, len(ka) + 1))
+
+
+@pytest.mark.parametrize("key", ["candidate_selection", "token_counts", "running_mean_loss", "kfold_assign",
+                                 "self_bleu", "roc_curve"])
+def test_queries_do_not_depend_on_partitioning(spark, key):
+    import __spark_entry__ as E
+    from tests.conftest import SMALL
+    q = E.queries()[key]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = sorted(repr(tuple(r)) for r in q(spark, SMALL).collect())   # repr: NaN equals NaN
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        eight = sorted(repr(tuple(r)) for r in q(spark, SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == eight

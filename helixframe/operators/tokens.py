@@ -168,16 +168,14 @@ def whole_word_mask(tokens: DataFrame, is_continuation: str = "is_continuation",
                     name: str = "ww_masked") -> DataFrame:
     """A continuation piece is masked exactly when its word head is.
 
-    Word index = running count of heads along the row; every piece takes the
-    mask state of the first piece of its word.  Windows are per row.
+    One ordered window per row: every piece takes the mask state of the
+    latest word head at or before it; continuation pieces before the first
+    head follow the row's first piece.  (Same result as numbering the words
+    and taking the first state per word, with a single sort.)
     """
-    w = Window.partitionBy("row_id").orderBy("pos")
-    word_ix = F.sum(F.when(F.col(is_continuation), 0).otherwise(1)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    with_ix = tokens.withColumn("word_ix", word_ix)
-    head = Window.partitionBy("row_id", "word_ix").orderBy("pos")
-    return with_ix.withColumn(name, F.first(masked).over(head.rowsBetween(Window.unboundedPreceding,
-                                                                            Window.currentRow)))
+    w = Window.partitionBy("row_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head_state = F.last(F.when(~F.col(is_continuation), F.col(masked)), ignorenulls=True).over(w)
+    return tokens.withColumn(name, F.coalesce(head_state, F.first(masked).over(w)))
 
 
 # ----------------------------------------------------------- fixed width

@@ -81,7 +81,7 @@ def collect_ordered(long: DataFrame, key: str, pos: str, value: str, name: str)
 def token_counts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """A1: occurrences per vocabulary id, 0 for unseen ids."""
     counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_obs"))
-    return (vocab.select("token_id").join(counts, "token_id", "left")
+    return (vocab.select("token_id").join(counts.hint("shuffle_hash"), "token_id", "left")
                  .select("token_id", F.coalesce("n_obs", F.lit(0)).cast("long").alias("n")))
 
 

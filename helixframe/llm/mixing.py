@@ -49,8 +49,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_tra
     lab = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains)).dropDuplicates(["doc_id"])
     some = stored(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "train")
     word = docs.select("node", "doc_id", F.explode(words_of(F.col("text"))).alias("w"))
-    hashed = lambda df: df.where("w <> ''").withColumn("w", F.xxhash64("w"))
-    train = hashed(docs.join(F.broadcast(some), "doc_id").select("domain", F.explode(words_of(F.col("text"))).alias("w")))
+    # a blank word keeps its row and counts for nothing: a text without words stays in the result
+    hashed = lambda df: df.withColumn("w", F.when(F.col("w") != "", F.xxhash64("w")))
+    train = hashed(docs.join(F.broadcast(some), "doc_id").select("domain", F.explode(words_of(F.col("text"))).alias("w"))).where("w is not null")
     by = [F.sum((F.col("domain") == d).cast("long")) for d in domains]
     count = stored(train.groupBy("w").agg(F.array(*by).alias("c"), F.count("*").alias("n")), "words")
     total = count.agg(*[F.sum(F.col("c")[j]) for j in range(k)]).first()
@@ -72,14 +73,14 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_tra
     mass = [float(x or 0) for x in kept.agg(*mine, *others).first()]
     plain = [log(max(1 - mass[j] / (total[j] + 1), 1e-6)) - log(max(1 - mass[k + j] / (every - total[j] + 1), 1e-6)) for j in range(k)]
     found = hashed(word).join(F.broadcast(kept.select("w", "g")), "w", "left")  # at most max_words rows
-    says = [F.when(F.col("g")[j] != 0, F.col("g")[j]).otherwise(plain[j]) for j in range(k)]
-    score = found.groupBy("node").agg(F.count("*").alias("tokens"), *[F.sum(x).alias(f"s{j}") for j, x in enumerate(says)])
+    says = [F.when(F.col("g")[j] != 0, F.col("g")[j]).when(F.col("w").isNotNull(), plain[j]) for j in range(k)]
+    score = found.groupBy("node", "doc_id").agg(F.count("w").alias("tokens"), *[F.sum(x).alias(f"s{j}") for j, x in enumerate(says)])
     raw = [F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), F.coalesce(f"s{j}", F.lit(0.0)))) + log(prior[j]) for j in range(k)]
     top = F.greatest(*raw) if k > 1 else raw[0]
     e = F.array(*[F.exp(x - top) for x in raw])
-    out = docs.select("node", "doc_id").join(score, "node", "left").withColumn("e", e)
+    out = score.withColumn("e", e)
     norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return out.select("node", "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.transform("e", lambda x: x / norm).alias("p"))
+    return out.select("node", "doc_id", "tokens", F.transform("e", lambda x: x / norm).alias("p"))
 
 
 def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, lam: float = LAMBDA, close: float = 1e-4) -> DataFrame:

@@ -83,18 +83,22 @@ def paired_rows(df: DataFrame, id_col: str) -> DataFrame:
 
 def paired_sample(df: DataFrame, id_col: str, m: Column | int, seed: int = SEED) -> DataFrame:
     """O3: m/2 real rows drawn without replacement (hash order) plus each
-    one's fake partner; the whole table when it is not larger than m.
-    Returns the sampled ids with ``label`` 1 (real) / 0 (fake) and ``pair``."""
+    one's fake partner; the whole table, unpaired rows included (their
+    ``pair`` is null), when it is not larger than m.  Returns the sampled ids with ``label`` 1 (real) / 0 (fake) and ``pair``."""
     pairs = paired_rows(df, id_col)
     n = _count(df)
     mm = F.lit(m) if isinstance(m, int) else m
     h = pairs.withColumn("__hk", hash_key(F.lit(seed), F.col("real_id")))
     ranked = global_row_number(h, [F.col("__hk").asc(), F.col("real_id").asc()], "__rn") \
         .crossJoin(F.broadcast(n))
-    keep = ranked.where((F.col("__n") <= mm) | (F.col("__rn") <= (mm / 2).cast("long")))
+    keep = ranked.where((F.col("__n") > mm) & (F.col("__rn") <= (mm / 2).cast("long")))
     real = keep.select(F.col("real_id").alias(id_col), F.lit(1).alias("label"), "pair")
     fake = keep.select(F.col("fake_id").alias(id_col), F.lit(0).alias("label"), "pair")
-    return real.unionByName(fake)
+    half = (F.col("__n") / 2).cast("long")
+    at = F.col("pos")
+    whole = positions(df.select(id_col), id_col).crossJoin(F.broadcast(n)).where(F.col("__n") <= mm).select(
+        id_col, (at < half).cast("int").alias("label"), F.when(at < half, at).when(at < 2 * half, at - half).alias("pair"))
+    return real.unionByName(fake).unionByName(whole)
 
 
 def append_batches(batches: list[DataFrame], batch_col: str = "batch_id") -> DataFrame:

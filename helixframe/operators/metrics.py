@@ -174,10 +174,15 @@ def fold_mean(per_fold: DataFrame, metrics: list[str], fold: str = "fold") -> Da
 
 
 # ----------------------------------------------------------- regression
+def complete_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows that have both values; every two-column statistic is one of these."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """R2 = 1 - SSE/SST (not the squared correlation), MSE, RMSE, MAE."""
     e = F.col(y) - F.col(p)
-    a = df.agg(F.sum(e * e).alias("sse"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    a = complete_pairs(df, y, p).agg(F.sum(e * e).alias("sse"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                (F.var_pop(y) * F.count(F.lit(1))).alias("sst"))
     return a.select((1 - _safe_div(F.col("sse"), F.col("sst"), float("nan"))).alias("r2"), "mse",
                     F.sqrt("mse").alias("rmse"), "mae")
@@ -186,7 +191,7 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """R from population covariance and deviations (guarded against a
     constant column instead of letting ANSI raise), t = r sqrt((n-2)/(1-r^2))."""
-    a = df.agg(F.covar_pop(x, y).alias("cov"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"),
+    a = complete_pairs(df, x, y).agg(F.covar_pop(x, y).alias("cov"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"),
                F.count(F.lit(1)).alias("n"))
     r = F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))
     out = a.select(r.alias("r"), "n")
@@ -196,7 +201,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson of average-tie ranks."""
-    ranked = average_rank(average_rank(df.select(x, y), x, "__rx"), y, "__ry")
+    ranked = average_rank(average_rank(complete_pairs(df.select(x, y), x, y), x, "__rx"), y, "__ry")
     return pearson(ranked, "__rx", "__ry").withColumnRenamed("r", "rho")
 
 
@@ -261,10 +266,15 @@ def with_pvalue(corr: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ histograms
 def shared_histogram(df: DataFrame, a: str, b: str, bins: int = HIST_BINS) -> DataFrame:
     """Both columns on the same equal-width edges from the joint min to
-    the joint max (last bin closed), density-normalised; empty bins exist."""
+    the joint max (last bin closed), density-normalised; empty bins exist.
+    Only rows with both values count; when all values are equal, the range is
+    widened by a half on either side."""
     spark = df.sparkSession
+    df = complete_pairs(df, a, b)
     rng = df.agg(F.least(F.min(a), F.min(b)).alias("lo"), F.greatest(F.max(a), F.max(b)).alias("hi"),
                  F.count(F.lit(1)).alias("n"))
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    rng = rng.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"), "n")
     width = (F.col("hi") - F.col("lo")) / bins
 
     def binned(col: str) -> Column:

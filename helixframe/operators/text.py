@@ -89,7 +89,8 @@ def bleu_from_counts(per_order: DataFrame, keys: list[str], max_order: int = MAX
         den = F.greatest(F.coalesce(F.col(f"den{n}"), F.lit(0)), F.lit(1)).cast("double")
         zero = (num == 0)
         zero_seen = zero_seen + F.when(zero & (c > 1), 1).otherwise(0)
-        smoothed = F.lit(1.0) / (F.pow(F.lit(2.0), zero_seen) * METHOD4_K / F.log(c))
+        # the smoothed count stands in for the numerator
+        smoothed = F.lit(1.0) / (F.pow(F.lit(2.0), zero_seen) * METHOD4_K / F.log(c)) / den
         p = F.when(zero & (c > 1), smoothed).when(zero, F.lit(0.0)).otherwise(num / den)
         logs.append(F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf"))))
     s = sum(logs[1:], logs[0]) / max_order

@@ -151,9 +151,11 @@ def survival_schedule(spark: SparkSession, steps: int = DEFAULT_STEPS, kind: str
 
 def keep_probability(survival: Column, wf_centred: Column, t: Column, steps: int,
                      lam: float = WORD_FREQ_LAMBDA) -> Column:
-    """F16: clip(S_t + wf_centred * lambda * sin(pi t / T), 0, .999)."""
+    """F16: clip(S_t + wf_centred * lambda * sin(pi t / T), 0, .999); at t = 0
+    every token stays."""
     mod = F.lit(lam) * F.sin(t.cast("double") / steps * math.pi)
-    return F.least(F.greatest(survival + wf_centred * mod, F.lit(0.0)), F.lit(KEEP_PROB_CAP))
+    clipped = F.least(F.greatest(survival + wf_centred * mod, F.lit(0.0)), F.lit(KEEP_PROB_CAP))
+    return F.when(t == 0, F.lit(1.0)).otherwise(clipped)
 
 
 def corrupt(tokens: DataFrame, seed: int, keep_prob: str = "keep_prob", t: str = "t",

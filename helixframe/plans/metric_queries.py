@@ -43,14 +43,27 @@ def _binary_pred(spark: SparkSession, d: str) -> DataFrame:
     return _binary(spark, d).withColumn("prob", N.sigmoid("z")).withColumn("pred", N.sigmoid_class("z"))
 
 
+def _logits(step: int, mod: int, mid: int):
+    """Ten logits of the whole embedding, by literal heads: weight of value i
+    (from 1) in head k (from 0) is ((i * step + i * k + k) mod ``mod``) - ``mid``."""
+    def head(k):
+        parts = F.transform("embedding", lambda x, i: x.cast("double") * (((i + 1) * (step + k) + k) % mod - mid))
+        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), head)
+
+
+def _sql_logits(step: int, mod: int, mid: int) -> str:
+    return (f"list_transform(range(0, 10), lambda k: list_sum(list_transform(range(1, 65), lambda i: "
+            f"CAST(embedding[i] AS DOUBLE) * ((i * ({step} + k) + k) % {mod} - {mid}))))")
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    return e.select("vec_id", z.alias("z"), F.col("label").alias("y")).withColumn("pred", N.argmax("z"))
+    return e.select("vec_id", _logits(1, 7, 3).alias("z"), F.col("label").alias("y")).withColumn("pred", N.argmax("z"))
 
 
 SQL_CLS = ("cls AS (SELECT vec_id, z, label AS y, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred FROM "
-           "(SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z, label FROM embeddings))")
+           f"(SELECT vec_id, {_sql_logits(1, 7, 3)} AS z, label FROM embeddings))")
 
 
 def _regression(spark: SparkSession, d: str) -> DataFrame:
@@ -202,14 +215,12 @@ def q_softmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SQL_PQ = (f"pq AS (SELECT vec_id, label, {sql_softmax('z1')} AS p, {sql_softmax('z2')} AS q FROM "
-           "(SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z1, "
-           "list_transform(embedding[11:20], lambda x: CAST(x AS DOUBLE)) AS z2 FROM embeddings))")
+           f"(SELECT vec_id, label, {_sql_logits(1, 7, 3)} AS z1, {_sql_logits(2, 5, 2)} AS z2 FROM embeddings))")
 
 
 def _pq(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    z1 = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    z2 = F.transform(F.slice("embedding", 11, 10), lambda x: x.cast("double"))
+    z1, z2 = _logits(1, 7, 3), _logits(2, 5, 2)
     return e.select("vec_id", "label", N.softmax(z1).alias("p"), N.softmax(z2).alias("q"))
 
 

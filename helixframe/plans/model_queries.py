@@ -124,7 +124,7 @@ def q_cross_validate(spark: SparkSession, d: str) -> DataFrame:
 def q_positive_probability(spark: SparkSession, d: str) -> DataFrame:
     """M8: P(label = 1) from the class-probability vector."""
     train, valid, n = _split(spark, d)
-    p = ML.logistic(n, max_iter=100).fit(train).transform(valid)
+    p = ML.logistic(n).fit(train).transform(valid)
     return finish(ML.positive_probability(p).select("row_id", "p_pos"))
 
 

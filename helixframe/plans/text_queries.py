@@ -36,7 +36,7 @@ def sql_score(per: str, keys: str) -> str:
         zero = f"coalesce(num{n}, 0) = 0"
         zs.append(f"(CASE WHEN {zero} AND hyp_len > 1 THEN 1 ELSE 0 END)")
         z = " + ".join(zs)
-        p = (f"(CASE WHEN {zero} AND hyp_len > 1 THEN 1.0 / (pow(2.0, {z}) * {TX.METHOD4_K} / ln(hyp_len)) "
+        p = (f"(CASE WHEN {zero} AND hyp_len > 1 THEN 1.0 / (pow(2.0, {z}) * {TX.METHOD4_K} / ln(hyp_len)) / greatest(coalesce(den{n}, 0), 1) "
              f"WHEN {zero} THEN 0.0 ELSE CAST(num{n} AS DOUBLE) / greatest(coalesce(den{n}, 0), 1) END)")
         ps.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE CAST('-inf' AS DOUBLE) END)")
     s = "(" + " + ".join(ps) + f") / {TX.MAX_ORDER}"

@@ -293,8 +293,9 @@ def _keep(spark: SparkSession, d: str) -> DataFrame:
 _SQL_KEEP = f"""
 kp AS (
   SELECT c.row_id, c.pos, c.token_id, ds.t,
+         CASE WHEN ds.t = 0 THEN 1.0 ELSE
          least(greatest(s.survival_mutual + c.wf_centred * ({T.WORD_FREQ_LAMBDA} * sin(ds.t / CAST({STEPS} AS DOUBLE) * pi())), 0.0),
-               {T.KEEP_PROB_CAP}) AS keep_prob
+               {T.KEEP_PROB_CAP}) END AS keep_prob
   FROM centred c JOIN docstep ds USING (row_id) JOIN sched s ON s.t = ds.t),
 noised AS (
   SELECT *, {_md5_u("concat_ws(':', " + str(SEED) + ", row_id, pos, t)")} AS u FROM kp),

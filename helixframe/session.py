@@ -55,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment sets ``spark.checkpoint.dir`` to a shared
-    file system; we only read it.  Only when it is unset (local tests) do we
-    create a scratch folder of our own.
+    file system; we only read it.  Only a local master, where the driver and
+    the tasks share one disk, gets a scratch folder of its own when it is
+    unset; anywhere else that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="helixframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -10,27 +10,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one split per core.
-
-    A Parquet file with a single row group is read by a single task, and
-    every per-row expression fused into the scan stage (regex extraction,
-    k-mer and word explosion) would then run on one core.  When the scan has
-    fewer splits than the cluster's default parallelism it is spread with a
-    round-robin repartition; big inputs (many splits) are left untouched, so
-    at scale this adds nothing.  Filters and column pruning still reach the
-    scan, since both are pushed through a repartition.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (e.g. a Connect session has no RDD API: keep the scan as is)
-        return df
-    return df.repartition(target) if splits < target else df
+SCAN_PARTITIONS = "helixframe.scan.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazily scan one table; filters and projections reach the parquet scan."""
+    """Lazily scan one table; filters and projections reach the parquet scan.
+
+    Splits are the session's business (``spark.sql.files.maxPartitionBytes``).
+    For inputs that cannot be split, such as a file of one row group, the
+    caller may set ``helixframe.scan.partitions`` in the session: every scan is
+    then dealt to that many partitions, whatever its size."""
     if name not in TABLES:
         raise KeyError(name)
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

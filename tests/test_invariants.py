@@ -106,7 +106,7 @@ def _bleu_brute(hyp, refs):
     for nu, de in zip(num, den):
         if nu == 0 and c > 1:
             inc *= 2
-            p.append(1 / (inc * 5 / math.log(c)))
+            p.append(1 / (inc * 5 / math.log(c)) / de)
         else:
             p.append(nu / de)
     if min(p) <= 0:
@@ -115,6 +115,18 @@ def _bleu_brute(hyp, refs):
     return bp * math.exp(sum(0.25 * math.log(x) for x in p))
 
 
+def test_bleu_smoothing_by_hand(spark):
+    # 6 words, one match: p1 = 1/6, then 1/(2^j * 5/ln 6) over 5, 4 and 3 n-grams
+    k = math.log(6) / 5
+    want = (1 / 6 * k / 2 / 5 * k / 4 / 4 * k / 8 / 3) ** 0.25
+    assert want == pytest.approx(0.0376, abs=5e-5)
+    hyp = spark.createDataFrame([(1, "a b c d e f")], "i long, text string")
+    ref = spark.createDataFrame([(1, "a x y z w q")], "i long, text string")
+    assert TX.corpus_bleu(hyp, ref, ["i"]).first()[0] == pytest.approx(want, rel=1e-12)
+    pair = hyp.selectExpr("1 as g", "i", "text").union(ref.selectExpr("1 as g", "2 as i", "text"))
+    assert {round(r.bleu, 12) for r in TX.self_bleu_scores(pair, ["g"], ["i"], "text").collect()} == {round(want, 12)}
+
+
 def test_self_bleu_fast_form_equals_all_pairs(spark):
     rnd = random.Random(11)
     words = ["a", "b", "c", "d", "e", "f"]

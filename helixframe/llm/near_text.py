@@ -12,8 +12,11 @@ similarity = a / (n1 + n2 - a), linked at ``threshold`` or more.
 
 Equal word sequences are collapsed first.  Candidates come in two rounds so
 that a group of thousands of copies does not become pairs: first every member
-of a sketch bucket against the bucket's smallest document, then only pairs of
-one bucket that the first round left in different components.
+of a sketch bucket against the bucket's smallest document; then, in buckets
+that the first round left in several components, all texts of different
+components, block by block: a matrix product counts the k-mers that two texts
+share, and only pairs which that count does not rule out are aligned.  Tasks
+return links that join components, never pairs.
 
 Defined results: null or blank texts (no word) link with nothing and are
 classes of their own, as do rows of a null id, which are returned with a null
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import long_ids, mix, stored, text_chunks, word_hashes
+from helixframe.llm.common import mix, stored, text_chunks, utf8, word_hashes
 from helixframe.llm.graph import components
 
 K, ELL, SKETCHES, THRESHOLD = 5, 4, 16, 0.8
@@ -115,10 +118,14 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similarity(wa: np.ndarray, wb: np.ndarray, k: int = K, threshold: float = THRESHOLD) -> float:
-    """Aligned share of two word-hash sequences.  The band is the number of
+    """Aligned share of two word-hash sequences."""
+    return share(labelled_kmers(wa, k), labelled_kmers(wb, k), threshold)
+
+
+def share(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    """Aligned share of two labelled k-mer sequences.  The band is the number of
     unmatched k-mers a pair at the threshold may have, so that no alignment
     which reaches the threshold leaves it."""
-    a, b = labelled_kmers(wa, k), labelled_kmers(wb, k)
     if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return 0.0
     band = int((len(a) + len(b)) * (1 - 2 * threshold / (1 + threshold))) + 1
@@ -133,21 +140,87 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     right = texts.select(F.col("r").alias("b"), F.col("t").alias("tb"))
 
     def run(batches):
-        from helixframe.llm.common import utf8
+        for rows, da, oa in text_chunks(batches, "ta"):
+            db, ob = utf8(rows.column("tb"))
+            (wa, na), (wb, nb) = word_hashes(da, oa), word_hashes(db, ob)
+            at_a, at_b = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nb)])
+            got = np.array([similarity(wa[at_a[i]:at_a[i + 1]], wb[at_b[i]:at_b[i + 1]], k, threshold) for i in range(rows.num_rows)])
+            keep = pa.array(got >= threshold)
+            yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep), pa.array(got).filter(keep)], names=["a", "b", "similarity"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+
+
+def _kmer_table(k: int):
+    def run(batches):
+        for rows, data, offs in text_chunks(batches, "t"):
+            words, per = word_hashes(data, offs)
+            at = np.concatenate([[0], np.cumsum(per)])
+            yield pa.RecordBatch.from_arrays([rows.column("r"), pa.array([labelled_kmers(words[at[i]:at[i + 1]], k).tobytes() for i in range(rows.num_rows)], pa.binary())], names=["r", "km"])
+
+    return run
+
 
+def _blocked(table: pa.Table) -> pa.Table:
+    """The members of one block of a bucket as one row."""
+    kms = table["km"].to_pylist()
+    one = [pa.array([table[c][0].as_py()], t) for c, t in (("f", pa.int32()), ("h", pa.int64()), ("b", pa.int64()))]
+    packed = [table["r"].to_numpy().tobytes(), table["c"].to_numpy().tobytes(), np.array([len(x) // 8 for x in kms], np.int64).tobytes(), b"".join(kms)]
+    return pa.Table.from_arrays([*one, *(pa.array([x], pa.binary()) for x in packed)], names=["f", "h", "b", "rs", "cs", "ns", "kms"])
+
+
+def shared_counts(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, wide: int = 4096) -> np.ndarray:
+    """How many labelled k-mers each text of one block shares with each of another."""
+    u, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    common = np.isin(u, a) & np.isin(u, b)
+    col = np.where(common, np.cumsum(common) - 1, -1)[at]
+    row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+    first = np.arange(len(at)) < len(a)
+    out = np.zeros((len(na), len(nb)), np.float32)
+    for s in range(0, int(common.sum()), wide):
+        x, y = np.zeros((len(na), wide), np.float32), np.zeros((len(nb), wide), np.float32)
+        here = (col >= s) & (col < s + wide)
+        x[row[here & first], col[here & first] - s] = 1
+        y[row[here & ~first], col[here & ~first] - s] = 1
+        out += x @ y.T
+    return out
+
+
+def _across(threshold: float):
+    """Links between texts of different components in two blocks of a bucket.
+    Counts of shared k-mers, an upper bound of the alignment, come from one
+    matrix product; pairs that reach the threshold by it are aligned, unless a
+    link found before already joins their components."""
+    def run(batches):
         for batch in batches:
-            a, b, s = [], [], []
-            (da, oa), (db, ob) = utf8(batch.column("ta")), utf8(batch.column("tb"))
-            (wa, na), (wb, nb) = word_hashes(da, oa), word_hashes(db, ob)
-            pa_, pb = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nb)])
-            ids_a, ids_b = long_ids(batch.column("a")), long_ids(batch.column("b"))
             for i in range(batch.num_rows):
-                v = similarity(wa[pa_[i]:pa_[i + 1]], wb[pb[i]:pb[i + 1]], k, threshold)
-                if v >= threshold:
-                    a.append(ids_a[i]), b.append(ids_b[i]), s.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+                get = lambda c, t=np.int64: np.frombuffer(batch.column(c)[i].as_py(), t)  # noqa: B023, E731
+                (ra, ca, na, a), (rb, cb, nb, b) = ((get("rs" + s), get("cs" + s), get("ns" + s), get("kms" + s, np.uint64)) for s in ("1", "2"))
+                if len(set(ca.tolist()) | set(cb.tolist())) < 2:
+                    continue
+                size = na[:, None] + nb[None, :]
+                could = (ca[:, None] != cb[None, :]) & (shared_counts(a, na, b, nb) >= size * (threshold / (1 + threshold)) - 1e-6)
+                ea, eb = np.cumsum(na), np.cumsum(nb)
+                parent: dict[int, int] = {}
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+                def find(x):
+                    while (y := parent.get(x, x)) != x:  # noqa: B023
+                        x = y
+                    return x
+
+                found = []
+                for p, q in zip(*np.nonzero(could)):
+                    x, y = find(int(ca[p])), find(int(cb[q]))
+                    if x != y and (v := share(a[ea[p] - na[p]:ea[p]], b[eb[q] - nb[q]:eb[q]], threshold)) >= threshold:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(ra[p]), int(rb[q]), v))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["a", "b", "similarity"])
+
+    return run
+
+
+BLOCK_KMERS = 65_536
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL,
@@ -172,13 +245,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link1 = stored(verify(first, text, k, threshold), "links1")
     comp = components(link1, rep.select("r"), "a", "b")
     placed = member.select("f", "h", "r", "n").join(comp.withColumnRenamed("id", "r"), "r")
-    mixed = placed.groupBy("f", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("f", "h")
-    placed = stored(placed.join(mixed, ["f", "h"]), "mixed")
-    x = placed.select("f", "h", F.col("r").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = placed.select("f", "h", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    second = (x.join(y, ["f", "h"]).where((F.col("ca") < F.col("cb")) & near_size(F.col("na"), F.col("nb")))
-              .select("a", "b").distinct())
-    link2 = stored(verify(second.join(first, ["a", "b"], "left_anti"), text, k, threshold), "links2")
+    mixed = placed.groupBy("f", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("n") / BLOCK_KMERS).cast("long").alias("blocks")).where("lo < hi").select("f", "h", "blocks")
+    placed = placed.join(mixed, ["f", "h"]).withColumn("b", F.pmod(F.xxhash64("r"), F.col("blocks")))
+    kmers = text.mapInArrow(_kmer_table(k), "r long, km binary")
+    block = stored(placed.join(kmers, "r").select("f", "h", "b", "r", "c", "km").groupBy("f", "h", "b").applyInArrow(
+        _blocked, "f int, h long, b long, rs binary, cs binary, ns binary, kms binary"), "blocks")
+    side = lambda s: block.select("f", "h", *[F.col(c).alias(c + s) for c in ("b", "rs", "cs", "ns", "kms")])
+    link2 = stored(side("1").join(side("2"), ["f", "h"]).where("b1 <= b2").mapInArrow(_across(threshold), "a long, b long, similarity double"), "links2")
     links = link1.unionByName(link2)
     final = components(links, rep.select("r"), "a", "b")
     named = rep.select("key", F.col("r").alias("id")).join(final, "id").select("key", F.col("c").alias("class_id"))

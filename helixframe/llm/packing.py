@@ -25,7 +25,8 @@ from helixframe.llm.common import LOWER, Spans, stored, text_chunks
 
 CAPACITY = 2048
 GROUP_TOKENS = 8 << 20
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 600_000
+LEARN = 4096  # words encoded at once
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -44,6 +45,9 @@ class WordTokens:
     texts that hold a special token's mark are encoded whole."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,10 +58,14 @@ class WordTokens:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes, parts = [], [self.pool]
+        for s in range(0, len(words), LEARN):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[s:s + LEARN], add_special_tokens=False)]
+            sizes += map(len, ids)
+            parts.append(np.array([x for i in ids for x in i], np.uint32))
+        n = np.array(sizes, np.int64)
         at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, np.array([x for i in ids for x in i], np.uint32)])
+        self.pool = np.concatenate(parts)
         order = np.argsort(k := np.concatenate([self.keys, keys]))
         self.keys, self.at, self.n = k[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
 

@@ -78,7 +78,3 @@ def mean_cosine(a: np.ndarray, b: np.ndarray) -> float:
     den = np.outer(na, nb)
     sims = np.divide(a @ b.T, den, out=np.zeros_like(den), where=den > 0)
     return float(sims.mean())
-
-
-def as_column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -109,16 +109,15 @@ def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """One point per distinct score (descending) plus the origin with a
-    null threshold.  Scores are aggregated first, then cumulated with a
-    range-partitioned prefix sum (no single-partition window)."""
+    null threshold.  Scores are aggregated first, then both counts are
+    cumulated in one range-partitioned pass (no single-partition window)."""
     counts = _score_counts(df, y, score)
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = global_cumsum(counts, [F.col("threshold").desc()], "pos", "cp_before")
-    cum = global_cumsum(cum, [F.col("threshold").desc()], "neg", "cn_before")
+    cum = running_sums(counts, [], [F.col("threshold").desc()], {"cp": F.col("pos"), "cn": F.col("neg")})
     pts = cum.crossJoin(F.broadcast(totals)).select(
         "threshold",
-        _safe_div((F.col("cn_before") + F.col("neg")).cast("double"), F.col("N")).alias("fpr"),
-        _safe_div((F.col("cp_before") + F.col("pos")).cast("double"), F.col("P")).alias("tpr"))
+        _safe_div(F.col("cn").cast("double"), F.col("N")).alias("fpr"),
+        _safe_div(F.col("cp").cast("double"), F.col("P")).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(origin.select(F.col("threshold").cast(dict(pts.dtypes)["threshold"]), "fpr", "tpr"))
 

@@ -47,13 +47,13 @@ def leave_one_out_max(counts: DataFrame, group: list[str], sent: list[str]) -> D
     sentences of its group (0 when none holds it)."""
     gk = [*group, "n", "gram"]
     top = counts.groupBy(*gk).agg(F.max("c").alias("m1"))
-    # One row per gram on the build side of each join: hash joins, no sort of the counts.
-    j = counts.join(top.hint("shuffle_hash"), gk)
+    # One row per gram on the other side of each join; both joins keep the aggregates' partitioning.
+    j = counts.join(top, gk)
     stats = j.groupBy(*gk).agg(
         F.first("m1").alias("m1"),
         F.sum((F.col("c") == F.col("m1")).cast("long")).alias("holders"),
         F.coalesce(F.max(F.when(F.col("c") < F.col("m1"), F.col("c"))), F.lit(0)).alias("m2"))
-    out = counts.join(stats.hint("shuffle_hash"), gk)
+    out = counts.join(stats, gk)
     loo = F.when((F.col("c") == F.col("m1")) & (F.col("holders") == 1), F.col("m2")).otherwise(F.col("m1"))
     return out.select(*group, *[s for s in sent if s not in group], "n", "gram", "c", loo.alias("ref_max"))
 
@@ -126,7 +126,7 @@ def reference_join(hyp: DataFrame, ref: DataFrame, keys: list[str], text: str =
     reference, an equi-join of the two count tables on (keys, n, gram)."""
     h = sentence_ngrams(hyp, keys, text)
     r = sentence_ngrams(ref, keys, text).withColumnRenamed("c", "rc")
-    j = h.join(r.hint("shuffle_hash"), [*keys, "n", "gram"], "left")
+    j = h.join(r, [*keys, "n", "gram"], "left")
     return j.groupBy(*keys, "n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("num"),
                                      F.sum("c").alias("den"))
 

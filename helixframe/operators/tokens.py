@@ -60,13 +60,12 @@ def full_vocabulary(words: DataFrame) -> DataFrame:
 def encode_long(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Word -> id by an equi-join on the word.
 
-    The vocabulary grows with the corpus, so it is not force-broadcast.  It
-    is the build side of a shuffled hash join: its keys are unique (no
-    build-side skew) and the much larger token side is streamed without
-    being sorted.  A very frequent word is a skewed probe key that AQE's
+    The vocabulary grows with the corpus, so neither a broadcast nor an
+    in-memory hash build is forced: the join spills, and AQE builds a hash
+    table only where every measured partition is small.  A very frequent word is a skewed probe key that AQE's
     skew-join split handles.
     """
-    return words.join(vocab.select("word", "token_id").hint("shuffle_hash"), "word") \
+    return words.join(vocab.select("word", "token_id"), "word") \
         .select("row_id", "pos", "token_id")
 
 
@@ -81,16 +80,18 @@ def collect_ordered(long: DataFrame, key: str, pos: str, value: str, name: str)
 def token_counts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """A1: occurrences per vocabulary id, 0 for unseen ids."""
     counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_obs"))
-    return (vocab.select("token_id").join(counts.hint("shuffle_hash"), "token_id", "left")
+    return (vocab.select("token_id").join(counts, "token_id", "left")
                  .select("token_id", F.coalesce("n_obs", F.lit(0)).cast("long").alias("n")))
 
 
-def word_freq(counts: DataFrame, special_ids: tuple[int, ...] = (PAD_ID, SEP_ID, CLS_ID)) -> DataFrame:
+def word_freq(counts: DataFrame, special_ids: tuple[int, ...] = (PAD_ID, SEP_ID, CLS_ID),
+              keep: tuple[str, ...] = ()) -> DataFrame:
     """A2: ln(n+1) / max ln(n+1); specials zeroed after normalising (so they
-    take part in the maximum).  The maximum is a one-row aggregate."""
+    take part in the maximum).  The maximum is a one-row aggregate.  ``keep``
+    names further columns of ``counts`` to carry along."""
     top = counts.agg(F.max(F.log1p("n")).alias("__mx"))
     return (counts.crossJoin(F.broadcast(top))
-                  .select("token_id",
+                  .select("token_id", *keep,
                           F.when(F.col("token_id").isin(*special_ids), F.lit(0.0))
                           .otherwise(F.log1p("n") / F.col("__mx")).alias("wf")))
 
@@ -104,10 +105,9 @@ def centred_word_freq(tokens_wf: DataFrame) -> DataFrame:
     """A3: wf minus its mean over the same sequence.
 
     The per-sequence mean is a hash aggregate (partial sums map-side, one row
-    per sequence) joined back as the build side of a shuffled hash join, so
-    the token table is never sorted."""
+    per sequence) joined back on the sequence, whose partitioning it keeps."""
     means = tokens_wf.groupBy("row_id").agg(F.avg("wf").alias("__wf_mean"))
-    return (tokens_wf.join(means.hint("shuffle_hash"), "row_id")
+    return (tokens_wf.join(means, "row_id")
                      .withColumn("wf_centred", F.col("wf") - F.col("__wf_mean")).drop("__wf_mean"))
 
 
@@ -218,14 +218,6 @@ def nucleus_filter(logits: Column, p: float) -> Column:
                                          .otherwise(F.lit(float("-inf"))))))
 
 
-def topk_long(cands: DataFrame, key: str, score: str, k: int = TOP_K) -> DataFrame:
-    """W9 in long form: rank() per key (Catalyst inserts a partial
-    WindowGroupLimit before the shuffle)."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc())
-    return cands.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= k).drop("__r")
-
-
-
 # ---------------------------------------------------------- strategies
 def corrupt_with(tokens: DataFrame, strategy: str, seed: int, mask_id: int = MASK_ID) -> DataFrame:
     """Pluggable corruption.  ``independent`` masks tokens one by one

@@ -89,13 +89,13 @@ def _wf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _tokens_wf(spark: SparkSession, d: str) -> DataFrame:
-    """``(row_id, pos, word, token_id, wf)`` with one token-level join: id and
-    frequency are attached to the (vocabulary-sized) lookup first."""
+    """``(row_id, pos, word, token_id, wf)`` with one token-level join: the
+    frequency is a projection of the vocabulary's own counts."""
     words = _words(spark, d)
     vocab = T.build_vocabulary(words)
     full = T.special_vocabulary(spark).unionByName(vocab)
-    lookup = vocab.select("word", "token_id").join(T.word_freq(full.select("token_id", "n")), "token_id")
-    return words.join(lookup.hint("shuffle_hash"), "word").select("row_id", "pos", "word", "token_id", "wf")
+    lookup = T.word_freq(full, keep=("word",)).where(F.col("token_id") >= T.N_SPECIAL)
+    return words.join(lookup, "word").select("row_id", "pos", "word", "token_id", "wf")
 
 
 def _doc_step(row_id: F.Column) -> F.Column:
@@ -284,7 +284,7 @@ def _keep(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with wf, centred wf, the document's step t (a hash of the
     document id, computed in place) and the survival at t (broadcast: T+1 rows)."""
     c = T.centred_word_freq(_tokens_wf(spark, d)).withColumn("t", _doc_step(F.col("row_id")))
-    s = _schedule(spark).select("t", "survival_mutual")
+    s = T.survival_schedule(spark, STEPS, "mutual").select("t", F.col("survival").alias("survival_mutual"))
     c = c.join(F.broadcast(s), "t")
     return c.withColumn("keep_prob", T.keep_probability(F.col("survival_mutual"), F.col("wf_centred"),
                                                         F.col("t"), STEPS))

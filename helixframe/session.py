@@ -24,6 +24,9 @@ _REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash joins only where every measured partition of the build side is below
+    # this size; all other joins sort and can spill.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Checkpoints written to cut lineage (global ranks) are removed once the
     # DataFrame that uses them is garbage collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

@@ -63,3 +63,40 @@ def test_too_deep_trees_are_an_error():
     with pytest.raises(ValueError):
         ml.random_forest(depth=39)
     assert math.isclose(ml.LR_C, 7.782e-5)
+
+
+def test_rank_keeps_wide_columns_and_null_ids(spark):
+    from helixframe.operators.select import rank_candidates
+
+    df = spark.createDataFrame([(1, 0.5, "AC"), (2, None, "GT"), (3, float("nan"), "TT"), (4, 0.5, None), (None, 0.9, "C")],
+                               "row_id long, score double, sequence string")
+    out = rank_candidates(df, ["score"])
+    assert out.columns == ["row_id", "score", "sequence", "sort_pos"]
+    got = {r.row_id: (r.sort_pos, r.sequence) for r in out.collect()}
+    assert got == {None: (1, "C"), 1: (2, "AC"), 4: (3, None), 2: (4, "GT"), 3: (5, "TT")}
+
+
+def test_best_hit_of_a_table_and_of_a_stream_agree(spark):
+    from helixframe.operators.select import HIT_COLUMNS, first_hit_per_query, running_first_hit
+
+    hits = spark.range(400).selectExpr(
+        "id % 7 as query_id", "cast(id % 5 as string) as subject_id", "100D as pct_identity", "11 as align_len", "0 as mismatches", "0 as gap_opens",
+        "cast(id % 3 as int) as q_start", "12 as q_end", "cast(id % 11 as int) as s_start", "20 as s_end",
+        "if(id % 13 = 0, null, 0.5D) as e_value", "cast(id % 2 as double) as bit_score")
+    assert hits.columns == HIT_COLUMNS
+    best = first_hit_per_query(hits)
+    rows = sorted(map(tuple, best.collect()), key=str)
+    assert rows == sorted(map(tuple, running_first_hit(hits).collect()), key=str) and len(rows) == 7
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    assert first_hit_per_query(hits.limit(0)).count() == 0
+
+
+def test_special_words_in_a_text_are_words_like_others(spark):
+    from helixframe.functions.tokens import N_SPECIAL, SPECIAL_TOKENS
+    from helixframe.operators import tokens as T
+
+    docs = spark.createDataFrame([(1, f"a b {SPECIAL_TOKENS[0]} a")], "doc_id long, text string")
+    words = T.words_long(docs)
+    full = T.special_vocabulary(spark).unionByName(T.build_vocabulary(words))
+    wf = T.word_freq(full, keep=("word",)).where(f"token_id >= {N_SPECIAL}")
+    assert sorted(r.word for r in wf.collect()) == sorted(["a", "b", SPECIAL_TOKENS[0]])

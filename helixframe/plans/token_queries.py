@@ -79,6 +79,14 @@ def _token_arrays(spark: SparkSession, d: str) -> DataFrame:
     return T.collect_ordered(toks, "row_id", "pos", "token_id", "tokens")
 
 
+def _truncated_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Token arrays cut to the length O4 keeps.  The vocabulary counts all
+    words of the whole texts; words that O4 drops are dropped before the join."""
+    words = _words(spark, d)
+    toks = T.encode_long(words.where(F.col("pos") < TF.MAX_LENGTH - 2), T.build_vocabulary(words))
+    return T.collect_ordered(toks, "row_id", "pos", "token_id", "tokens")
+
+
 def _wf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Encoded tokens and A2.  Every word maps to exactly one id, so the
     token counts A1 would produce are the vocabulary's own word counts; A2 is
@@ -147,7 +155,7 @@ enc AS (SELECT row_id,
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    return T.encode_fixed(_token_arrays(spark, d))
+    return T.encode_fixed(_truncated_arrays(spark, d))
 
 
 @register("encode_tokens", sql=f"WITH {SQL_TOKENS}, {_SQL_ENC} SELECT * FROM enc")
@@ -158,14 +166,14 @@ def q_encode_tokens(spark: SparkSession, d: str) -> DataFrame:
 @register("truncate_tokens", sql=f"WITH {SQL_TOKENS} SELECT row_id, tokens[1:{TF.MAX_LENGTH - 2}] AS tokens "
                                  "FROM tokarr")
 def q_truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _token_arrays(spark, d).select("row_id", TF.truncate_tokens("tokens").alias("tokens"))
+    return _truncated_arrays(spark, d).select("row_id", TF.truncate_tokens("tokens").alias("tokens"))
 
 
 @register("add_special", sql=f"WITH {SQL_TOKENS} SELECT row_id, "
           f"list_concat([{TF.CLS_ID}], tokens[1:{TF.MAX_LENGTH - 2}], [{TF.SEP_ID}]) AS ids, "
           "list_concat([1], list_transform(tokens[1:98], lambda x: 1), [0]) AS mask FROM tokarr")
 def q_add_special(spark: SparkSession, d: str) -> DataFrame:
-    t = _token_arrays(spark, d).select("row_id", TF.truncate_tokens("tokens").alias("t"))
+    t = _truncated_arrays(spark, d).select("row_id", TF.truncate_tokens("tokens").alias("t"))
     return t.select("row_id", TF.add_special("t").alias("ids"),
                     TF.add_special_mask(F.transform("t", lambda x: F.lit(1))).alias("mask"))
 

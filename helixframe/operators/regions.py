@@ -9,7 +9,8 @@ token pairs is never materialised as rows:
 * Pearson (A29): centre and unit-scale each vector, the same dot of means,
   times (d-1)/d for the biased covariance over the unbiased deviations
 * Euclidean (A28) has no linear form; it is a nested fold inside the row.
-* DTW (A30) is a dynamic program: an Arrow-batched pandas UDF per row.
+* DTW (A30) is a dynamic program, mutual information (A31) a histogram:
+  Arrow-batched pandas UDFs per row.
 """
 
 from __future__ import annotations
@@ -135,17 +136,20 @@ def cls_pool(m: Column | str) -> Column:
 
 
 def _dtw(a: np.ndarray, b: np.ndarray) -> float:
+    """Cheapest warping path, one anti-diagonal at a time (``acc[i]`` is cell
+    (i, k - i)), so the interpreter takes n + m steps instead of n * m."""
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return float("nan")
     cost = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
-    acc = np.full((n + 1, m + 1), np.inf)
-    acc[0, 0] = 0.0
-    for i in range(1, n + 1):
-        row, prev = acc[i], acc[i - 1]
-        for j in range(1, m + 1):
-            row[j] = cost[i - 1, j - 1] + min(prev[j], row[j - 1], prev[j - 1])
-    return float(acc[n, m])
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before[0] = 0.0
+    for k in range(2, n + m + 1):
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        acc = np.full(n + 1, np.inf)
+        acc[i] = cost[i - 1, k - i - 1] + np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1])
+        before, last = last, acc
+    return float(last[n])
 
 
 def dtw_distance(a, b) -> float:
@@ -170,34 +174,30 @@ def region_pairs(df: DataFrame, regions: dict[str, Column], keep: list[str]) ->
     return spans.select(*keep, F.inline(pairs))
 
 
-def flat(m: Column) -> Column:
-    return F.flatten(m)
+def _mutual_info(x: np.ndarray, y: np.ndarray, bins: int) -> float:
+    def binned(v: np.ndarray) -> np.ndarray:
+        lo, w = v.min(), v.max() - v.min()
+        return np.minimum(np.floor((v - lo) * (bins / w)), bins - 1).astype(np.int64) if w > 0 else np.zeros(len(v), np.int64)
+
+    n, bx, by = len(x), binned(x), binned(y)
+    joint, c = np.unique(bx * bins + by, return_counts=True)
+    cx, cy = np.bincount(bx, minlength=bins), np.bincount(by, minlength=bins)
+    return float(np.sum(c / n * np.log(c / n / (cx[joint // bins] / n * (cy[joint % bins] / n)))))
 
 
 def mutual_information(pairs: DataFrame, key: list[str], a: str = "a", b: str = "b",
                        bins: int = MI_BINS, name: str = "mutual_info") -> DataFrame:
     """A31 (textbook joint form): the flattened values of the two matrices
-    paired by position (up to the shorter), each binned on its own
-    [min, max] into ``bins`` equal bins (last closed); MI = sum pxy ln(pxy/(px py)).
-    Long form: one shuffle by (key, bin pair), then per-key aggregates."""
-    v = pairs.select(*key, F.flatten(a).alias("__fa"), F.flatten(b).alias("__fb"))
-    v = v.select(*key, F.posexplode(F.arrays_zip(F.col("__fa").alias("x"), F.col("__fb").alias("y")))
-                 .alias("__i", "__z"))
-    v = v.where(F.col("__z.x").isNotNull() & F.col("__z.y").isNotNull()) \
-        .select(*key, F.col("__z.x").alias("x"), F.col("__z.y").alias("y"))
-    rng = v.groupBy(*key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
-                              F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
-
-    def binned(c: str, lo: str, hi: str) -> Column:
-        w = F.col(hi) - F.col(lo)
-        return F.when(w > 0, F.least(F.floor((F.col(c) - F.col(lo)) * (F.lit(float(bins)) / w)),
-                                     F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-
-    j = v.join(rng, key).select(*key, binned("x", "x0", "x1").alias("bx"), binned("y", "y0", "y1").alias("by"), "n")
-    joint = j.groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    px = joint.groupBy(*key, "bx").agg(F.sum("c").alias("cx"))
-    py = joint.groupBy(*key, "by").agg(F.sum("c").alias("cy"))
-    t = joint.join(px, [*key, "bx"]).join(py, [*key, "by"])
-    pxy = F.col("c") / F.col("n")
-    return t.groupBy(*key).agg(F.sum(pxy * F.log(pxy / ((F.col("cx") / F.col("n")) * (F.col("cy") / F.col("n")))))
-                               .alias(name))
+    paired by position (up to the shorter, pairs with a null left out), each
+    binned on its own [min, max] into ``bins`` equal bins (last closed);
+    MI = sum pxy ln(pxy/(px py)).  Both matrices lie in the row, so it is an
+    Arrow-batched function of the row and nothing is shuffled; rows without
+    a pair are not returned, a NaN or infinite value gives NaN."""
+    @F.pandas_udf(DoubleType())
+    def info(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_mutual_info(np.asarray(u), np.asarray(v), bins)
+                          if np.isfinite(u).all() and np.isfinite(v).all() else float("nan") for u, v in zip(x, y)], dtype=float)
+
+    zipped = F.arrays_zip(F.flatten(a).alias("x"), F.flatten(b).alias("y"))
+    z = pairs.select(*key, F.filter(zipped, lambda t: t["x"].isNotNull() & t["y"].isNotNull()).alias("__z"))
+    return z.where(F.size("__z") > 0).select(*key, info("__z.x", "__z.y").alias(name))

@@ -161,7 +161,6 @@ _SQL_C7 = (f"{B.SQL_DNA}, "
            f"{_sql_strat('feat', 'row_id', 'label')}")
 
 
-@register("feature_table", sql=f"WITH {_SQL_C7} SELECT row_id, label, fold, features FROM sk")
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """Paired sample of the documents (first half real, second half
     fake) -> 400 dinucleotide energies -> stratified folds."""
@@ -169,4 +168,8 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     n = dna.count()
     samp = FO.paired_sample(dna.select("row_id"), "row_id", 2 * (n // 3)).select("row_id", "label")
     feats = samp.join(dna, "row_id").select("row_id", "label", energy_features("sequence").alias("features"))
-    return finish(FO.stratified_kfold_assign(feats, "row_id", "label").select("row_id", "label", "fold", "features"))
+    return FO.stratified_kfold_assign(feats, "row_id", "label").select("row_id", "label", "fold", "features")
+
+
+register("feature_table", sql=f"WITH {_SQL_C7} SELECT row_id, label, fold, features FROM sk")(
+    lambda spark, d: finish(feature_table(spark, d)))

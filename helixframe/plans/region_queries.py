@@ -76,6 +76,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return R.region_pairs(mats, _regions(mats), ["vec_id"])
 
 
+def _profile_pairs(spark: SparkSession, d: str, profile) -> DataFrame:
+    """Pairs of region profiles, each profile computed once per region (a
+    region is in four pairs); empty regions are in no pair."""
+    mats = _mats(spark, d)
+    spans = mats.select("vec_id", *[c.alias(r) for r, c in _regions(mats).items()])
+    prof = {r: F.when(F.size(r) > 0, profile(r)) for r in R.REGIONS}
+    return R.region_pairs(spans, prof, ["vec_id"]).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+
+
 @register("region_span", sql=f"WITH {_SQL_MATS} SELECT vec_id, "
           f"list_position(list_transform(z, lambda v: list_max(v) <> 0), true) AS first_pos, {_sql_span('z')} AS span "
           "FROM mats")
@@ -123,8 +132,7 @@ _SQL_PEA = ("list_sum(list_transform(a, lambda u: list_sum(list_transform(b, lam
 @register("region_cosine", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
           f"SELECT vec_id, pair, {_SQL_COS} AS cosine FROM rp WHERE len(a) > 0 AND len(b) > 0")
 def q_region_cosine(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where((F.size("a") > 0) & (F.size("b") > 0))
-    return finish(p.select("vec_id", "pair", R.region_cosine("a", "b").alias("cosine")))
+    return finish(_profile_pairs(spark, d, R.cosine_profile).select("vec_id", "pair", R.dot(F.col("a"), F.col("b")).alias("cosine")))
 
 
 @register("region_euclidean", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
@@ -137,14 +145,22 @@ def q_region_euclidean(spark: SparkSession, d: str) -> DataFrame:
 @register("region_pearson", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
           f"SELECT vec_id, pair, {_SQL_PEA} AS pearson FROM rp WHERE len(a) > 0 AND len(b) > 0")
 def q_region_pearson(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where((F.size("a") > 0) & (F.size("b") > 0))
-    return finish(p.select("vec_id", "pair", R.region_pearson("a", "b").alias("pearson")))
+    p = _profile_pairs(spark, d, R.pearson_profile)
+    return finish(p.select("vec_id", "pair", R.pearson_from_profiles("a", "b").alias("pearson")))
+
+
+_SQL_DIST = ("sqrt(list_sum(list_transform(list_zip(a[{i}], b[{j}]), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))")
 
 
-@register("region_dtw")
+@register("region_dtw", sql=f"WITH RECURSIVE {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS}, "
+          f"paths AS (SELECT vec_id, pair, a, b, 1 AS i, 1 AS j, {_SQL_DIST.format(i='1', j='1')} AS cost FROM rp "
+          "WHERE len(a) > 0 AND len(b) > 0 UNION ALL "
+          f"SELECT vec_id, pair, a, b, i + di, j + dj, cost + {_SQL_DIST.format(i='i + di', j='j + dj')} "
+          "FROM paths, (VALUES (0, 1), (1, 0), (1, 1)) AS step(di, dj) WHERE i + di <= len(a) AND j + dj <= len(b)) "
+          "SELECT vec_id, pair, min(cost) AS dtw FROM paths WHERE i = len(a) AND j = len(b) GROUP BY vec_id, pair")
 def q_region_dtw(spark: SparkSession, d: str) -> DataFrame:
-    """A30 (rows-only): DTW cost per region pair, a per-row dynamic program
-    in an Arrow-batched pandas UDF (tested against a brute-force recursion)."""
+    """DTW cost per region pair, a per-row dynamic program in an
+    Arrow-batched pandas UDF; the twin walks every warping path."""
     p = _pairs(spark, d).where((F.size("a") > 0) & (F.size("b") > 0))
     return finish(p.select("vec_id", "pair", R.region_dtw_udf("a", "b").alias("dtw")))
 
@@ -200,7 +216,7 @@ def region_similarity(spark: SparkSession, d: str) -> DataFrame:
     prof = regs.select("vec_id", "intensity_y", "intensity_pred",
                        *[R.pearson_profile(r).alias(r) for r in R.REGIONS])  # one profile per region
     sims = [R.pearson_from_profiles(a, b).alias(f"sim_{a}_{b}") for a, b in R.REGION_PAIRS]
-    return finish(prof.select(F.col("vec_id").alias("id"), "intensity_y", "intensity_pred", *sims))
+    return prof.select(F.col("vec_id").alias("id"), "intensity_y", "intensity_pred", *sims)
 
 
 _SQL_C5 = (f"WITH {_SQL_MATS}, acc0 AS (SELECT vec_id, z, "
@@ -215,7 +231,7 @@ _SQL_C5 = (f"WITH {_SQL_MATS}, acc0 AS (SELECT vec_id, z, "
            + ", ".join(f"(SELECT {_SQL_PEA} FROM (SELECT {a} AS a, {b} AS b)) AS sim_{a}_{b}"
                        for a, b in R.REGION_PAIRS) + " FROM regs")
 
-register("region_similarity", sql=_SQL_C5)(region_similarity)
+register("region_similarity", sql=_SQL_C5)(lambda spark, d: finish(region_similarity(spark, d)))
 
 
 @register("sink_region_similarity", sql=_SQL_C5)
@@ -225,7 +241,7 @@ def q_sink_region_similarity(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, f"region_similarity-{uuid.uuid4().hex}")
     out = region_similarity(spark, d)
     out.write.mode("overwrite").option("header", True).csv(path)
-    return spark.read.option("header", True).schema(out.schema).csv(path)
+    return finish(spark.read.option("header", True).schema(out.schema).csv(path))
 
 
 @register("metrics_long", sql="WITH reg AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS pred FROM lineitem), "

@@ -2,8 +2,8 @@
 
 Every registered query reads whole driver tables (or data Spark derives from
 them).  The SQL twin is an independent formulation of the same result that
-DuckDB runs on the same parquet files; doubles are rounded to 6 places on
-both sides so that summation order does not matter.
+DuckDB runs on the same parquet files; doubles are rounded on both sides, in
+the registered outer query only, so that summation order does not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 DIGITS = 6
+#: Columns that are products of powers, compared by significant digits alone
+#: however small they are.
+RELATIVE = ("e_value", "p_value")
 
 
 def register(key: str, sql: str | None = None):
@@ -38,7 +41,9 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     out = []
     for name, dtype in df.dtypes:
         c = F.col(name)
-        if dtype in ("double", "float"):
+        if name in RELATIVE and dtype == "double":
+            c = F.when(c.isNotNull(), F.format_string(f"%.{SIGNIFICANT - 1}e", c).cast("double"))
+        elif dtype in ("double", "float"):
             c = round_half_even(c, digits)
         elif dtype in ("array<double>", "array<float>"):
             c = F.transform(c, lambda x: round_half_even(x, digits))
@@ -70,6 +75,8 @@ def _round_expr(name: str, dtype: str, digits: int) -> str | None:
         scale = f"pow(CAST(10.0 AS DOUBLE), {d})"
         return (f"CASE WHEN isnan({x}) OR isinf({x}) OR {x} = 0 THEN {x} + CAST(0.0 AS DOUBLE) "
                 f"ELSE round_even({x} * {scale}, 0) / {scale} + CAST(0.0 AS DOUBLE) END")
+    if name in RELATIVE and t == "DOUBLE":
+        return f"CAST(printf('%.{SIGNIFICANT - 1}e', {q}) AS DOUBLE) AS {q}"
     if t in ("DOUBLE", "FLOAT", "REAL"):
         return f"{rnd(q)} AS {q}"
     if t in ("DOUBLE[]", "FLOAT[]"):

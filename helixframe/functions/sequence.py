@@ -131,9 +131,3 @@ def reverse_complement(seq: Column | str) -> Column:
 def kmers(seq: Column | str, k: int) -> Column:
     """All overlapping k-mers, in order (index = 0-based start position)."""
     return windows(seq, k)
-
-
-def matching_letters(a: Column | str, b: Column | str) -> Column:
-    """Number of positions where two equally long strings agree (linear)."""
-    return F.aggregate(F.zip_with(F.split(_c(a), ""), F.split(_c(b), ""), lambda x, y: (x == y).cast("int")),
-                       F.lit(0), lambda acc, v: acc + v)

@@ -110,7 +110,8 @@ cut AS (
 
 def sql_seed_hits(queries: str, subjects: str, k: int = SEED_K, link: int | None = None,
                   max_evalue: float = 10.0) -> str:
-    """CTE chain ending in ``hits`` (12 columns), mirroring operators.seeds."""
+    """CTE chain ending in ``hits`` (12 columns): seeds position by position,
+    and the best part of a chain letter by letter from prefix sums."""
     link = 2 * k if link is None else link
     return f"""
 qo AS (
@@ -137,14 +138,30 @@ chained AS (
 segs AS (
   SELECT query_id, subject_id, strand, diag, chain, MIN(q_pos) AS qs0, MAX(q_pos) + {k} AS qe0
   FROM chained GROUP BY ALL),
+chain_letters AS (
+  SELECT query_id, subject_id, strand, diag, chain, q_len, i,
+         CASE WHEN substr(oriented, i + 1, 1) = substr(s_seq, i + diag + 1, 1) THEN 1 ELSE -2 END AS v
+  FROM (SELECT segs.*, qo.q_len, qo.oriented, s.s_seq, unnest(range(qs0, qe0)) AS i
+        FROM segs JOIN qo USING (query_id, strand) JOIN {subjects} s USING (subject_id))),
+prefix AS (
+  SELECT *, SUM(v) OVER (PARTITION BY query_id, subject_id, strand, diag, chain ORDER BY i
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM chain_letters),
+lowest AS (
+  SELECT *, MIN(p - v) OVER (PARTITION BY query_id, subject_id, strand, diag, chain ORDER BY i
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM prefix),
+tops AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, subject_id, strand, diag, chain
+                                              ORDER BY p - low DESC, i ASC) AS rn FROM lowest) WHERE rn = 1),
+parts AS (
+  SELECT query_id, subject_id, strand, diag, chain, any_value(t.q_len) AS q_len, MIN(l.i) AS qs0, any_value(t.i) + 1 AS qe0
+  FROM tops t JOIN lowest l USING (query_id, subject_id, strand, diag, chain)
+  WHERE l.i <= t.i AND l.p - l.v = t.low GROUP BY ALL),
 scored AS (
-  SELECT segs.*, qo.q_len, qo.oriented, s.s_seq,
-         CAST(qe0 - qs0 AS INTEGER) AS align_len,
-         CAST(list_sum(list_transform(range(qs0 + 1, qe0 + 1), lambda i:
-              CASE WHEN substr(qo.oriented, i, 1) = substr(s.s_seq, i + diag, 1) THEN 1 ELSE 0 END))
-              AS INTEGER) AS ident,
+  SELECT query_id, subject_id, strand, diag, chain, parts.q_len, qs0, qe0, CAST(qe0 - qs0 AS INTEGER) AS align_len,
+         CAST(count(*) FILTER (WHERE v = 1) AS INTEGER) AS ident,
          (SELECT SUM(length(s_seq)) FROM {subjects}) AS db_len
-  FROM segs JOIN qo USING (query_id, strand) JOIN {subjects} s USING (subject_id)),
+  FROM parts JOIN chain_letters c USING (query_id, subject_id, strand, diag, chain)
+  WHERE c.i >= qs0 AND c.i < qe0 GROUP BY ALL),
 scored2 AS (
   SELECT *, CAST(align_len - ident AS INTEGER) AS mismatches,
          (CAST(1.28 AS DOUBLE) * (ident * 1 + (align_len - ident) * -2) - ln(CAST(0.46 AS DOUBLE))) / ln(CAST(2.0 AS DOUBLE)) AS bit_score

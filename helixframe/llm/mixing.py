@@ -6,7 +6,9 @@ domain match targets.  DataFrame operations only.
    labelled rows (the smallest hashes of their ids); of its words it keeps at
    most ``max_words``, those whose rate in a domain differs most surely from
    the rate elsewhere (z of at least ``least_z``), a bounded table that is
-   broadcast; all other words count for what is left of each side's mass.
+   broadcast.  A domain's score is the multinomial log-likelihood of the
+   document's kept words against their rate over all domains; other words
+   weigh nothing, and no sum is cut, however long the document.
 2. Projected gradient descent (with momentum) on
    1/2 sum_k ((S_k - T_k)/T)^2 + lam/2 sum_i (t_i/T) (r_i - 1)^2,  r >= 0,
    where S_k = sum_i r_i t_i P_ik.  A step needs only the K totals S_k, one
@@ -33,7 +35,6 @@ from helixframe.llm.common import stored
 
 MAX_TRAIN, MAX_WORDS, LEAST_Z = 20_000, 8192, 6.0
 STEPS, LAMBDA, FOLD = 32, 1e-3, 8
-CLIP = 30.0
 
 
 def words_of(text):
@@ -58,24 +59,20 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_tra
     total = [float(x or 0) for x in total]
     rows = dict(some.groupBy("domain").count().collect())  # a row per domain
     every, prior = sum(total), [(rows.get(d, 0) + 1.0) / (sum(rows.values()) + k) for d in domains]
-    weight, sure = [], []
+    sure = []
     for j in range(k):
         c, n = F.col("c")[j].cast("double"), F.col("n").cast("double")
         rate = (n + 1.0) / (every + 1.0)
-        z = (c - total[j] * rate) / F.sqrt(F.lit(total[j]) * rate + 1.0)
-        sure.append(F.abs(z))
-        weight.append(F.when(F.abs(z) >= least_z, F.log((c + 0.5) / (total[j] + 1.0)) - F.log((n - c + 0.5) / (every - total[j] + 1.0))).otherwise(0.0))
-    kept = count.withColumn("z", F.greatest(F.lit(0.0), *sure)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(max_words).select("w", "c", "n", F.array(*weight).alias("g"))
+        sure.append(F.abs((c - total[j] * rate) / F.sqrt(F.lit(total[j]) * rate + 1.0)))
+    kept = count.withColumn("z", F.greatest(F.lit(0.0), *sure)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(max_words).select("w", "c", "n")
     kept = stored(kept, "weights")
-    # what a word without evidence says: the rest of either side's mass
-    mine = [F.sum(F.when(F.col("g")[j] != 0, F.col("c")[j])) for j in range(k)]
-    others = [F.sum(F.when(F.col("g")[j] != 0, F.col("n") - F.col("c")[j])) for j in range(k)]
-    mass = [float(x or 0) for x in kept.agg(*mine, *others).first()]
-    plain = [log(max(1 - mass[j] / (total[j] + 1), 1e-6)) - log(max(1 - mass[k + j] / (every - total[j] + 1), 1e-6)) for j in range(k)]
-    found = hashed(word).join(F.broadcast(kept.select("w", "g")), "w", "left")  # at most max_words rows
-    says = [F.when(F.col("g")[j] != 0, F.col("g")[j]).when(F.col("w").isNotNull(), plain[j]) for j in range(k)]
-    score = found.groupBy("node", "doc_id").agg(F.count("w").alias("tokens"), *[F.sum(x).alias(f"s{j}") for j, x in enumerate(says)])
-    raw = [F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), F.coalesce(f"s{j}", F.lit(0.0)))) + log(prior[j]) for j in range(k)]
+    # each domain's rates are smoothed by one word dealt out at the rates of all domains
+    *mine, all_kept = [float(x or 0) for x in kept.agg(*[F.sum(F.col("c")[j]) for j in range(k)], F.sum("n")).first()]
+    rate = F.col("n") / F.lit(all_kept)
+    weight = [F.log((F.col("c")[j] + rate) / F.lit(mine[j] + 1.0)) - F.log(rate) for j in range(k)]
+    found = hashed(word).join(F.broadcast(kept.select("w", F.array(*weight).alias("g"))), "w", "left")  # at most max_words rows
+    score = found.groupBy("node", "doc_id").agg(F.count("w").alias("tokens"), *[F.sum(F.col("g")[j]).alias(f"s{j}") for j in range(k)])
+    raw = [F.coalesce(f"s{j}", F.lit(0.0)) + log(prior[j]) for j in range(k)]
     top = F.greatest(*raw) if k > 1 else raw[0]
     e = F.array(*[F.exp(x - top) for x in raw])
     out = score.withColumn("e", e)

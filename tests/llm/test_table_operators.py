@@ -194,6 +194,29 @@ def test_mixing_edges(spark):
     assert len(got) == 2 and all(list(r.p) == [0.5, 0.5] and r.rate == pytest.approx(1.0) for r in got)
 
 
+def test_long_documents_keep_their_evidence(spark):
+    rng = random.Random(7)
+    rows, lab = [], []
+    for i in range(360):
+        toxic = i % 9 == 0
+        n = (60, 600, 3000)[i // 9 % 3]
+        # half of the domains' words say nothing; "low" rows give the words without evidence a lean
+        kind = "toxic" if toxic else "low" if i % 9 == 1 else "good"
+        words = [f"low{rng.randrange(20)}" if kind == "low" and rng.random() < 0.5 else f"c{rng.randrange(3000)}" for _ in range(n)]
+        if toxic:
+            for _ in range(6):
+                words[rng.randrange(n)] = f"bad{rng.randrange(8)}"
+        rows.append((i, " ".join(words)))
+        lab.append((i, kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(lab, "doc_id long, domain string")
+    got = {r.doc_id: r.domain for r in mixing.mix_documents(docs, labels, {"good": 1.0, "low": 1.0, "toxic": 0.0}, relative=True).collect()}
+    for n in range(3):  # by length
+        toxic = [i for i, d in lab if d == "toxic" and i // 9 % 3 == n]
+        assert sum(got[i] == "toxic" for i in toxic) >= 0.9 * len(toxic), n
+    assert sum(got[i] == "toxic" for i, d in lab if d != "toxic") <= 3
+
+
 def test_no_python_in_native_operators(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = sharding.shard_documents(docs)._jdf.queryExecution().toString()

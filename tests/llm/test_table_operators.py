@@ -210,13 +210,36 @@ def test_long_documents_keep_their_evidence(spark):
         lab.append((i, kind))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame(lab, "doc_id long, domain string")
-    got = {r.doc_id: r.domain for r in mixing.mix_documents(docs, labels, {"good": 1.0, "low": 1.0, "toxic": 0.0}, relative=True).collect()}
+    got = {r.doc_id: r.domain for r in mixing.mix_documents(docs, labels, {"good": 1.0, "low": 1.0, "toxic": 1.0}, relative=True).collect()}
     for n in range(3):  # by length
         toxic = [i for i, d in lab if d == "toxic" and i // 9 % 3 == n]
         assert sum(got[i] == "toxic" for i in toxic) >= 0.9 * len(toxic), n
     assert sum(got[i] == "toxic" for i, d in lab if d != "toxic") <= 3
 
 
+@pytest.mark.parametrize("scarce", [0.01, 0.001])
+def test_scarce_domains_meet_their_targets(spark, scarce, recwarn):
+    n = 4000
+    rare = F.col("id") < int(n * scarce)
+    pure = spark.range(n).select(F.lit(100).cast("long").alias("tokens"), rare.alias("rare"), F.when(rare, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("p"))
+    have = [100.0 * n * (1 - scarce), 100.0 * n * scarce]
+    for factors in ((1.05, 0.0), (0.9, 20.0)):
+        got = mixing.fit_rates(pure, [h * f for h, f in zip(have, factors)])
+        rates = {r.rare: r.rate for r in got.groupBy("rare").agg(F.avg("rate").alias("rate")).collect()}
+        for is_rare, f in zip((False, True), factors):
+            assert rates[is_rare] == pytest.approx(f, rel=0.01, abs=0.01)
+        assert max(map(abs, got.first().gaps)) <= mixing.CLOSE
+    assert not [w for w in recwarn if "mixing" in str(w.message)]
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    same = spark.range(50).select(F.lit(10).cast("long").alias("tokens"), F.array(F.lit(0.5), F.lit(0.5)).alias("p"))
+    with pytest.warns(UserWarning, match="targets not met"):
+        got = mixing.fit_rates(same, [500.0, 0.0])
+    gaps = got.first().gaps
+    assert gaps[0] < -0.2 and gaps[1] > 0.2
+
+
 def test_no_python_in_native_operators(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = sharding.shard_documents(docs)._jdf.queryExecution().toString()

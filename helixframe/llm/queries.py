@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import katz, merkle, mixing, near_text, near_vectors, packing, quality, repeats, sharding, topk, warc
+from helixframe.llm import katz, merkle, mixing, near_text, near_vectors, packing, quality, repeats, sharding, topk, warc, whitening
 
 MIX = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 
@@ -73,12 +73,16 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", "domain", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(MIX)], "rate", mixing.copies(F.col("rate"), F.col("node")).alias("copies"))
 
 
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op13_concatenated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_segment_topk, op3_collision_dedup, op4_kneser_ney_quality, op5_seekable_warc, op6_sum_of_squares,
-                                   op7_label_propagation, op8_katz_backoff, op9_suffix_repeats, op10_soft_mixing, op13_concatenated_levels)}
+                                   op7_label_propagation, op8_katz_backoff, op9_suffix_repeats, op10_soft_mixing, op12_jacobi_davidson, op13_concatenated_levels)}
 
 _VALID = "len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 ORACLE = {

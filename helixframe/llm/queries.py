@@ -6,15 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import katz, merkle, mixing, near_text, near_vectors, packing, quality, repeats, sharding, topk, warc, whitening
+from helixframe.llm import automaton, katz, merkle, mixing, near_text, near_vectors, packing, quality, repeats, sharding, topk, warc, whitening
 
 MIX = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", "domain", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(MIX)], "rate", mixing.copies(F.col("rate"), F.col("node")).alias("copies"))
 
 
+def op11_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    coded = automaton.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    out = automaton.decode(coded, path)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))[0]
 
@@ -82,7 +90,7 @@ def op13_concatenated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_segment_topk, op3_collision_dedup, op4_kneser_ney_quality, op5_seekable_warc, op6_sum_of_squares,
-                                   op7_label_propagation, op8_katz_backoff, op9_suffix_repeats, op10_soft_mixing, op12_jacobi_davidson, op13_concatenated_levels)}
+                                   op7_label_propagation, op8_katz_backoff, op9_suffix_repeats, op10_soft_mixing, op11_tokenization_automaton, op12_jacobi_davidson, op13_concatenated_levels)}
 
 _VALID = "len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 ORACLE = {

@@ -69,10 +69,10 @@ def mse(df: DataFrame, y: str, p: str, name: str = "mse") -> DataFrame:
     return df.agg(F.avg(e * e).alias(name))
 
 
-def log_loss(df: DataFrame, y: str, prob: str, eps: float = LOG_LOSS_EPS, name: str = "log_loss") -> DataFrame:
-    """Mean negative log-likelihood, probabilities clipped to [eps, 1-eps]."""
+def log_loss(df: DataFrame, y: str, prob: str, eps: float = LOG_LOSS_EPS, name: str = "log_loss", by: list[str] | None = None) -> DataFrame:
+    """Mean negative log-likelihood, probabilities clipped to [eps, 1-eps]; per group with ``by``."""
     p = F.least(F.greatest(F.col(prob), F.lit(eps)), F.lit(1 - eps))
-    return df.agg(F.avg(-(F.col(y) * F.log(p) + (1 - F.col(y)) * F.log(1 - p))).alias(name))
+    return df.groupBy(*(by or [])).agg(F.avg(-(F.col(y) * F.log(p) + (1 - F.col(y)) * F.log(1 - p))).alias(name))
 
 
 # ------------------------------------------------------- classification
@@ -132,6 +132,16 @@ def auc(df: DataFrame, y: str, score: str, name: str = "auc") -> DataFrame:
     return cum.crossJoin(F.broadcast(totals)).agg(F.sum(area).alias(name))
 
 
+def grouped_auc(df: DataFrame, y: str, score: str, by: list[str], name: str = "auc") -> DataFrame:
+    """A14 per group: what share of (positive, negative) pairs the score puts
+    in order, ties half.  Scores are counted first; a group's counts are
+    cumulated over as many ranges as they need.  Null without both classes."""
+    counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
+    cum = running_sums(counts, by, [F.col("threshold").desc()], {"cp": F.col("pos")})
+    total = cum.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(F.col("neg") * (2 * F.col("cp") - F.col("pos"))).alias("twice"))
+    return total.select(*by, F.try_divide(F.col("twice") / 2, F.col("P") * F.col("N")).alias(name))
+
+
 def multiclass_macro(df: DataFrame, y: str, p: str) -> DataFrame:
     """Accuracy and macro precision / recall / F1 over every class seen
     in truth or prediction (undefined = 0)."""

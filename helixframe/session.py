@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used by this package should carry.  They are all
 # correctness or plan-quality settings, not sizing: sizing (shuffle partitions,
@@ -79,7 +80,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path for an intermediate table under the shared checkpoint folder;
+    :func:`release_scratch` removes it."""
+    path = os.path.join(ensure_checkpoint_dir(spark), name)
+    _SCRATCH.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new scratch folder and read again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far, once the results that
+    read them are written.  Returns how many there were."""
+    jvm, n = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n

@@ -272,6 +272,18 @@ def with_pvalue(corr: DataFrame) -> DataFrame:
     return corr.withColumn("p_value", t_pvalue_udf("t", "n"))
 
 
+def regression_report(df: DataFrame, y: str, p: str) -> DataFrame:
+    """The ten scalars of a validation step as one row: loss (the mean squared
+    error), A18, both correlations with their p-values, and the divergence
+    of the shared histograms."""
+    rm = regression_metrics(df, y, p).withColumn("loss", F.col("mse"))
+    pe = with_pvalue(pearson(df, y, p)).select(F.col("r").alias("pearson"), F.col("p_value").alias("pearson_p"))
+    sp = with_pvalue(spearman(df, y, p)).select(F.col("rho").alias("spearman"), F.col("p_value").alias("spearman_p"))
+    h = shared_histogram(df, y, p)
+    kl = kl_divergence(h, f"density_{y}", f"density_{p}")
+    return rm.crossJoin(pe).crossJoin(sp).crossJoin(kl)
+
+
 # ------------------------------------------------------------ histograms
 def shared_histogram(df: DataFrame, a: str, b: str, bins: int = HIST_BINS) -> DataFrame:
     """Both columns on the same equal-width edges from the joint min to

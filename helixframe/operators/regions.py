@@ -92,8 +92,11 @@ def pearson_profile(m: Column | str) -> Column:
     return vmean(centred_unit_rows(_c(m)))
 
 
-def pearson_from_profiles(pa: Column | str, pb: Column | str) -> Column:
-    """A29 from two profiles: dot * (d-1)/d, d the vector width."""
+def pearson_from_profiles(pa: Column | str, pb: Column | str, corrected: bool = False) -> Column:
+    """A29 from two profiles: dot * (d-1)/d, d the vector width; with
+    ``corrected`` the plain correlation, both moments with the same divisor (Q9)."""
+    if corrected:
+        return dot(_c(pa), _c(pb))
     return let(_c(pa), lambda x: dot(x, _c(pb)) * (F.size(x) - 1) / F.size(x))
 
 

@@ -231,3 +231,14 @@ def corrupt_with(tokens: DataFrame, strategy: str, seed: int, mask_id: int = MAS
         ww = whole_word_mask(noised.withColumn("masked", F.col("noised") == mask_id))
         return ww.withColumn("noised", F.when(F.col("ww_masked"), F.lit(mask_id)).otherwise(F.col("token_id")))
     raise ValueError(strategy)
+
+
+def masked_restore(selected: DataFrame, rows: DataFrame, value: str = "token_id", out: str = "ids") -> DataFrame:
+    """P9, the way back: ``(row_id, pos, value)`` of the selected positions to
+    one array of the row's ``width`` per row of ``rows``, zero where nothing
+    was selected.  One shuffle of the selected values; a row's array is filled
+    in place, no spine of positions is joined."""
+    got = selected.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", value))).alias("__m"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0)))
+    none = F.array_repeat(F.lit(0), F.col("width"))
+    return rows.join(got, "row_id", "left").select("row_id", F.when(F.col("width") <= 0, F.array().cast("array<int>")).when(F.col("__m").isNull(), none).otherwise(filled).alias(out))

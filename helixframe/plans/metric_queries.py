@@ -262,7 +262,22 @@ def q_pearson_r(spark: SparkSession, d: str) -> DataFrame:
     return finish(M.pearson(_regression(spark, d), "y", "pred"))
 
 
-@register("pearson_pvalue")
+def sql_p_value(t: str, n: str) -> str:
+    """Two-sided tail of Student's t with n - 2 degrees of freedom: the share of
+    the integral of cos^(n - 3) that lies beyond atan(t / sqrt(n - 2)), by Simpson's rule."""
+    k = 1_000_000
+
+    def integral(low: str) -> str:
+        x = f"({low} + (pi() / 2 - {low}) * i / {k})"
+        return (f"(SELECT (pi() / 2 - {low}) * sum(CASE WHEN i = 0 OR i = {k} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * "
+                f"pow(greatest(cos({x}), 0), {n} - 3)) FROM range({k + 1}) s(i))")
+
+    return f"({integral(f'atan(abs({t}) / sqrt({n} - 2))')} / {integral('CAST(0 AS DOUBLE)')})"
+
+
+@register("pearson_pvalue", sql=f"WITH {SQL_REG}, c AS (SELECT corr(y, pred) AS r, count(*) AS n FROM reg), "
+          "ct AS (SELECT r, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c) "
+          f"SELECT r, n, t, {sql_p_value('(SELECT t FROM ct)', '(SELECT n FROM ct)')} AS p_value FROM ct")
 def q_pearson_pvalue(spark: SparkSession, d: str) -> DataFrame:
     """A19 with its two-sided p-value (incomplete beta on the one-row result)."""
     return finish(M.with_pvalue(M.pearson(_regression(spark, d), "y", "pred")))
@@ -279,7 +294,9 @@ def q_spearman_r(spark: SparkSession, d: str) -> DataFrame:
     return finish(M.spearman(_regression(spark, d), "y", "pred"))
 
 
-@register("spearman_pvalue")
+@register("spearman_pvalue", sql=f"WITH {SQL_REG}, {_SQL_RANKS}, c AS (SELECT corr(ry, rp) AS rho, count(*) AS n FROM rk), "
+          "ct AS (SELECT rho, n, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c) "
+          f"SELECT rho, n, t, {sql_p_value('(SELECT t FROM ct)', '(SELECT n FROM ct)')} AS p_value FROM ct")
 def q_spearman_pvalue(spark: SparkSession, d: str) -> DataFrame:
     return finish(M.with_pvalue(M.spearman(_regression(spark, d), "y", "pred")))
 
@@ -303,6 +320,17 @@ _SQL_HIST = ("rng AS (SELECT least(min(y), min(pred)) AS lo, greatest(max(y), ma
              "LEFT JOIN hp USING (bin), rng)")
 
 
+#: The ten scalars of a validation step over ``reg(y, pred)``.
+SQL_SCALARS = (f"{_SQL_RANKS}, {_SQL_HIST}, ks AS (SELECT sum(density_y + 1e-10) AS sp, sum(density_pred + 1e-10) AS sq FROM hist), "
+               "pc AS (SELECT corr(y, pred) AS r, count(*) AS n FROM reg), sc AS (SELECT corr(ry, rp) AS r, count(*) AS n FROM rk), "
+               "scalars AS (SELECT mse AS loss, 1 - sse / nullif(sst, 0) AS r2, mse, sqrt(mse) AS rmse, mae, (SELECT r FROM pc) AS pearson, "
+               + sql_p_value("(SELECT r * sqrt((n - 2) / (1 - r * r)) FROM pc)", "(SELECT n FROM pc)") + " AS pearson_p, (SELECT r FROM sc) AS spearman, "
+               + sql_p_value("(SELECT r * sqrt((n - 2) / (1 - r * r)) FROM sc)", "(SELECT n FROM sc)") + " AS spearman_p, "
+               "(SELECT sum(((density_y + 1e-10) / sp) * ln(((density_y + 1e-10) / sp) / ((density_pred + 1e-10) / sq))) FROM hist, ks) AS kl "
+               "FROM (SELECT sum((y - pred) * (y - pred)) AS sse, avg((y - pred) * (y - pred)) AS mse, avg(abs(y - pred)) AS mae, "
+               "var_pop(y) * count(*) AS sst FROM reg))")
+
+
 @register("shared_histogram", sql=f"WITH {SQL_REG}, {_SQL_HIST} SELECT * FROM hist")
 def q_shared_histogram(spark: SparkSession, d: str) -> DataFrame:
     return finish(M.shared_histogram(_regression(spark, d), "y", "pred"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import numeric as N
 from helixframe.functions import tokens as TF
-from helixframe.functions.udf import batch_score_udf, linear_model, mean_cosine, pair_udf
+from helixframe.functions.udf import batch_score_udf, grouped_pair_apply, linear_model, mean_cosine, pair_udf
 from helixframe.operators import metrics as M
 from helixframe.operators import ml as ML
 from helixframe.operators import model_selection as MS
@@ -25,7 +25,7 @@ from helixframe.operators.boosting import first_split_gains
 from helixframe.plans import region_queries as RQ
 from helixframe.plans import token_queries as TQ
 from helixframe.plans.fold_queries import _SQL_C7, feature_table
-from helixframe.plans.metric_queries import HEAD_BIAS, HEAD_WEIGHTS, _W_SQL
+from helixframe.plans.metric_queries import HEAD_BIAS, HEAD_WEIGHTS, SQL_SCALARS, _W_SQL
 from helixframe.plans.registry import finish, register
 from helixframe.session import scratch_path, stored
 from helixframe.sources.tables import table
@@ -190,6 +190,15 @@ def q_grouped_pair_udf(spark: SparkSession, d: str) -> DataFrame:
     return finish(p.select("vec_id", "pair", pair_udf(mean_cosine)("a", "b").alias("value")))
 
 
+@register("grouped_pair_apply", sql=f"WITH {RQ._SQL_MATS}, {RQ._SQL_REGIONS}, {RQ._SQL_PAIRS} "
+          f"SELECT vec_id, pair, {RQ._SQL_COS} AS value FROM rp WHERE len(a) > 0 AND len(b) > 0")
+def q_grouped_pair_apply(spark: SparkSession, d: str) -> DataFrame:
+    """X2, the grouped form: the matrices arrive as one row per vector."""
+    p = RQ._pairs(spark, d).where((F.size("a") > 0) & (F.size("b") > 0))
+    side = lambda c: p.select("vec_id", "pair", F.lit(c).alias("side"), F.posexplode(c).alias("pos", "vector"))
+    return finish(grouped_pair_apply(side("a").unionByName(side("b")), ["vec_id", "pair"], mean_cosine))
+
+
 @register("sampler_strategy", sql=f"WITH {TQ.SQL_TOKENS}, {TQ._SQL_SCHED}, {TQ._SQL_KEEP}, "
           f"ww AS (SELECT n.row_id, n.pos, n.token_id, n.noised = {TF.MASK_ID} AS masked, "
           "NOT regexp_matches(w.word, '^[A-Z]') AS is_continuation FROM noised2 n JOIN words w USING (row_id, pos)), "
@@ -255,38 +264,18 @@ _SQL_C3 = (f"{_SQL_POOL}, "
            f"ex AS (SELECT vec_id, exp(CAST(embedding[64] AS DOUBLE) * 8.0 * {N.INTENSITY_LOG1P_STD!r} + "
            f"{N.INTENSITY_LOG1P_MEAN!r}) - 1 AS intensity, {_sql_head(C3_W, C3_B)} AS pred FROM pooled), "
            f"reg AS (SELECT (ln(1 + intensity) - {N.INTENSITY_LOG1P_MEAN!r}) / {N.INTENSITY_LOG1P_STD!r} AS y, pred "
-           "FROM ex), "
-           "rng AS (SELECT least(min(y), min(pred)) AS lo, greatest(max(y), max(pred)) AS hi, count(*) AS n FROM reg), "
-           "hb AS (SELECT CAST(least(floor((y - lo) * (30.0 / (hi - lo))), 29) AS INTEGER) AS by_, "
-           "CAST(least(floor((pred - lo) * (30.0 / (hi - lo))), 29) AS INTEGER) AS bp_ FROM reg, rng), "
-           "ha AS (SELECT by_ AS bin, count(*) AS ca FROM hb GROUP BY 1), "
-           "hp AS (SELECT bp_ AS bin, count(*) AS cb FROM hb GROUP BY 1), "
-           "hist AS (SELECT s.bin, coalesce(ca, 0) / (n * ((hi - lo) / 30)) AS dy, "
-           "coalesce(cb, 0) / (n * ((hi - lo) / 30)) AS dp FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) s "
-           "LEFT JOIN ha USING (bin) LEFT JOIN hp USING (bin), rng), "
-           "ks AS (SELECT sum(dy + 1e-10) AS sp, sum(dp + 1e-10) AS sq FROM hist), "
-           "rk AS (SELECT (rank() OVER (ORDER BY y) + rank() OVER (ORDER BY y) + count(*) OVER (PARTITION BY y) - 1)"
-           " / 2.0 AS ry, (rank() OVER (ORDER BY pred) + rank() OVER (ORDER BY pred) + "
-           "count(*) OVER (PARTITION BY pred) - 1) / 2.0 AS rp FROM reg)")
-
-
-@register("expression_eval", sql=f"WITH {_SQL_C3} SELECT 1 - sse / nullif(sst, 0) AS r2, mse, sqrt(mse) AS rmse, mae, "
-          "(SELECT corr(y, pred) FROM reg) AS pearson, (SELECT corr(ry, rp) FROM rk) AS spearman, "
-          "(SELECT sum(((dy + 1e-10) / sp) * ln(((dy + 1e-10) / sp) / ((dp + 1e-10) / sq))) FROM hist, ks) AS kl "
-          "FROM (SELECT sum((y - pred) * (y - pred)) AS sse, avg((y - pred) * (y - pred)) AS mse, "
-          "avg(abs(y - pred)) AS mae, var_pop(y) * count(*) AS sst FROM reg)")
+           "FROM ex)")
+
+
+@register("expression_eval", sql=f"WITH {_SQL_C3}, {SQL_SCALARS} SELECT r2, mse, rmse, mae, pearson, pearson_p, spearman, spearman_p, kl FROM scalars")
 def expression_eval(spark: SparkSession, d: str) -> DataFrame:
     """Intensities log-standardised (F9), scored by a linear head on the
     pooled vector, then R2 / MSE / RMSE / MAE (A18), Pearson (A19),
-    Spearman (A20) and histogram KL (A21, A22)."""
+    Spearman (A20), both with their p-values, and histogram KL (A21, A22)."""
     p = _pooled_scores(spark, d)
     intensity = N.expm1_destandardise(F.element_at("embedding", 64).cast("double") * 8.0)
     reg = p.select(N.log1p_standardise(intensity).alias("y"), N.linear_head("pool", C3_W, C3_B).alias("pred"))
-    rm = M.regression_metrics(reg, "y", "pred")
-    pe = M.pearson(reg, "y", "pred").select(F.col("r").alias("pearson"))
-    sp = M.spearman(reg, "y", "pred").select(F.col("rho").alias("spearman"))
-    kl = M.kl_divergence(M.shared_histogram(reg, "y", "pred"), "density_y", "density_pred")
-    return finish(rm.crossJoin(pe).crossJoin(sp).crossJoin(kl))
+    return finish(M.regression_report(reg, "y", "pred").drop("loss"))
 
 
 @register("expression_class_eval", sql=f"WITH {_SQL_POOL}, "

@@ -18,7 +18,7 @@ from helixframe.functions import numeric as N
 from helixframe.operators import features as X
 from helixframe.operators import metrics as M
 from helixframe.operators import regions as R
-from helixframe.plans.metric_queries import _regression
+from helixframe.plans.metric_queries import SQL_REG, SQL_SCALARS, _regression
 from helixframe.plans.registry import finish, register
 from helixframe.session import scratch_path
 from helixframe.sources.tables import table
@@ -149,6 +149,14 @@ def q_region_pearson(spark: SparkSession, d: str) -> DataFrame:
     return finish(p.select("vec_id", "pair", R.pearson_from_profiles("a", "b").alias("pearson")))
 
 
+@register("region_pearson_corrected", sql=f"WITH {_SQL_MATS}, {_SQL_REGIONS}, {_SQL_PAIRS} "
+          f"SELECT vec_id, pair, {_SQL_PEA.replace('/ len(u))', '/ (len(u) - 1))')} AS pearson FROM rp WHERE len(a) > 0 AND len(b) > 0")
+def q_region_pearson_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """A29 with ``corrected``: both moments divide by d - 1."""
+    p = _profile_pairs(spark, d, R.pearson_profile)
+    return finish(p.select("vec_id", "pair", R.pearson_from_profiles("a", "b", corrected=True).alias("pearson")))
+
+
 _SQL_DIST = ("sqrt(list_sum(list_transform(list_zip(a[{i}], b[{j}]), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))")
 
 
@@ -244,12 +252,12 @@ def q_sink_region_similarity(spark: SparkSession, d: str) -> DataFrame:
     return finish(spark.read.option("header", True).schema(out.schema).csv(path))
 
 
-@register("metrics_long", sql="WITH reg AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS pred FROM lineitem), "
-          "m AS (SELECT 0 AS step, 1 - sse / nullif(sst, 0) AS r2, mse, sqrt(mse) AS rmse, mae FROM "
-          "(SELECT sum((y - pred) * (y - pred)) AS sse, avg((y - pred) * (y - pred)) AS mse, avg(abs(y - pred)) AS mae, "
-          "var_pop(y) * count(*) AS sst FROM reg)) "
-          "UNPIVOT m ON r2, mse, rmse, mae INTO NAME metric VALUE value")
+_SCALARS = ("loss", "r2", "mse", "rmse", "mae", "pearson", "pearson_p", "spearman", "spearman_p", "kl")
+
+
+@register("metrics_long", sql=f"WITH {SQL_REG}, {SQL_SCALARS}, m AS (SELECT 0 AS step, * FROM scalars) "
+          f"UNPIVOT m ON {', '.join(_SCALARS)} INTO NAME metric VALUE value")
 def q_metrics_long(spark: SparkSession, d: str) -> DataFrame:
-    """Named scalars at a step, long form (step, metric, value)."""
-    m = M.regression_metrics(_regression(spark, d), "y", "pred").withColumn("step", F.lit(0))
-    return finish(m.unpivot(["step"], ["r2", "mse", "rmse", "mae"], "metric", "value"))
+    """The ten scalars of a validation step, long form (step, metric, value)."""
+    m = M.regression_report(_regression(spark, d), "y", "pred").withColumn("step", F.lit(0))
+    return finish(m.unpivot(["step"], list(_SCALARS), "metric", "value"))

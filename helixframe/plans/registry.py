@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 #: Columns that are products of powers, compared by significant digits alone
 #: however small they are.
-RELATIVE = ("e_value", "p_value")
+RELATIVE = ("e_value", "p_value", "pearson_p", "spearman_p")
 
 
 def register(key: str, sql: str | None = None):

@@ -122,8 +122,8 @@ def q_split_words(spark: SparkSession, d: str) -> DataFrame:
 
 @register("token_counts", sql=f"WITH {SQL_TOKENS} SELECT * FROM counts")
 def q_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    words, vocab, toks = _vocab_and_tokens(spark, d)
-    return T.token_counts(toks, T.special_vocabulary(spark).unionByName(vocab))
+    """A1: the vocabulary counts its words when it is built; specials have 0."""
+    return T.full_vocabulary(_words(spark, d)).select("token_id", "n")
 
 
 @register("word_freq", sql=f"WITH {SQL_TOKENS} SELECT * FROM wf")
@@ -199,10 +199,19 @@ def q_masked_select(spark: SparkSession, d: str) -> DataFrame:
                                                           F.col("z.input_ids").alias("token_id"))
 
 
+@register("masked_restore", sql=f"WITH {SQL_TOKENS}, {_SQL_ENC} "
+          "SELECT row_id, list_transform(list_zip(input_ids, attention_mask), lambda t: t[1] * t[2]) AS ids FROM enc")
+def q_masked_restore(spark: SparkSession, d: str) -> DataFrame:
+    """P9 back: the selected positions put into place, zeros elsewhere."""
+    e = _encoded(spark, d)
+    return T.masked_restore(q_masked_select(spark, d), e.select("row_id", "width"), "token_id", "ids")
+
+
 @register("pad_width", sql=f"WITH {SQL_TOKENS}, {_SQL_ENC} SELECT DISTINCT width FROM enc")
 def q_pad_width(spark: SparkSession, d: str) -> DataFrame:
     """min(100, longest token row) over the whole table."""
-    return _encoded(spark, d).select("width").distinct()
+    words = F.size(TF.split_words("text"))
+    return _docs(spark, d).agg(F.least(F.max(words) + 2, F.lit(TF.MAX_LENGTH)).alias("width"))
 
 
 @register("decode_tokens", sql=f"WITH {SQL_TOKENS} "

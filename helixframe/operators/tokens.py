@@ -104,11 +104,10 @@ def token_freq_lookup(tokens: DataFrame, wf: DataFrame) -> DataFrame:
 def centred_word_freq(tokens_wf: DataFrame) -> DataFrame:
     """A3: wf minus its mean over the same sequence.
 
-    The per-sequence mean is a hash aggregate (partial sums map-side, one row
-    per sequence) joined back on the sequence, whose partitioning it keeps."""
-    means = tokens_wf.groupBy("row_id").agg(F.avg("wf").alias("__wf_mean"))
-    return (tokens_wf.join(means, "row_id")
-                     .withColumn("wf_centred", F.col("wf") - F.col("__wf_mean")).drop("__wf_mean"))
+    The mean is a window over the sequence, so the tokens are shuffled once;
+    a window by position over the same sequences (W11) shares that exchange."""
+    mean = F.avg("wf").over(Window.partitionBy("row_id"))
+    return tokens_wf.withColumn("wf_centred", F.col("wf") - mean)
 
 
 # -------------------------------------------------------------- schedules

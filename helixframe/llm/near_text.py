@@ -58,9 +58,13 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def order_sketches(kmers: np.ndarray, ell: int, seeds: np.ndarray) -> np.ndarray:
-    """One hash per seed of the ell minimum k-mers in their text order."""
+def order_sketches(kmers: np.ndarray, ell: int, seeds: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """One hash per seed of the ell minimum k-mers in their text order; a long
+    text takes its seeds a few at a time (``most`` hashes at once)."""
     n, ell = len(kmers), min(ell, len(kmers))
+    step = max(1, most // n)
+    if step < len(seeds):
+        return np.concatenate([order_sketches(kmers, ell, seeds[i:i + step], most) for i in range(0, len(seeds), step)])
     h = (kmers[None, :] ^ seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(32)
     at = np.sort(np.argpartition(h, ell - 1, axis=1)[:, :ell], axis=1)

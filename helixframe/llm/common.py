@@ -27,23 +27,27 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it again:
     the lineage is cut and what was computed survives the loss of executors."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = path or scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch folder that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables of earlier operator calls; call it once
     their results are written.  Returns how many folders were removed."""
-    jvm, n = spark.sparkContext._jvm, 0
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
     while _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        n += bool(p.getFileSystem(conf).delete(p, True))
+        n += remove(spark, _SCRATCH.pop())
     return n
 
 

@@ -70,7 +70,7 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(_table(spark, sf_dir, "documents"), domains(_table(spark, sf_dir, "labels")), MIX)
-    return out.select("doc_id", "tokens", "domain", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(MIX)], "rate", mixing.copies(F.col("rate"), F.col("node")).alias("copies"))
+    return out.select("doc_id", "tokens", "domain", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(MIX)], "rate", mixing.copies(F.col("rate"), F.col("draw")).alias("copies"))
 
 
 def op11_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

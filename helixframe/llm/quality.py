@@ -36,7 +36,8 @@ from helixframe.llm.common import Spans, mix, pack, pack_sorted, remove, scratch
 TRAIN_BYTES = 12 << 20
 SHARD_BITS, SLOT_BITS = 6, 20  # 64 shards; the filter has a bit for 2 ** 26 ranges of hashes
 BLOCK_BYTES, ASKED_BLOCKS = 4 << 20, 64
-SENT = np.uint64(16)  # requests leave out the last bits of a hash: 48 tell n-grams apart
+SENT = np.uint64(18)  # requests leave out the last bits of a hash: 46 tell n-grams apart
+BROADCAST_IDS = 500_000  # more trusted ids than these are joined by a shuffle
 QUANTILE, MARGIN, PRIOR, LEAST = 0.995, 0.05, 20.0, 50
 _TWO, _THREE = 0xD1342543DE82EF95, 0xAEF17502108EF2D9
 _B1, _B2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -350,7 +351,8 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     share = min(0.5, train_bytes / max(1, sizes))
     chosen = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     fits = ids.where(chosen)
-    model = fit(text.select("i", "t").where(chosen).join(fits, "i", "left_semi"))
+    few = F.broadcast(fits) if fits.count() <= BROADCAST_IDS else fits
+    model = fit(text.select("i", "t").where(chosen).join(few, "i", "left_semi"))
     if model is None:
         words = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), r"[ \t-\r]+"), lambda x: x != ""))
         return text.select(F.col("i").alias("doc_id"), F.col("l").alias("lang"), words.cast("long").alias("n_words"), F.lit(None).cast("double").alias("log10_prob"),

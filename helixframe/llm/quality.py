@@ -248,10 +248,17 @@ def _blocks(batches):
 
 
 def _opened(lens: bytes, texts: bytes):
+    """The n-grams of a block's texts, hashed about a megabyte at a time."""
     import zstandard
 
-    lens = unpack(lens)
-    return _grams(np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8), np.concatenate([[0], np.cumsum(lens)]))
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)
+    offs = np.concatenate([[0], np.cumsum(unpack(lens))]).astype(np.int64)
+    parts, i, n = [], 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + (1 << 20), "right")) - 1)
+        parts.append(_grams(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]))
+        i = j
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:

@@ -9,11 +9,14 @@ on ties); uniform weights 1/4.
 
 Self-BLEU (every sentence against all the other sentences of its group)
 needs, for each sentence and n-gram, the largest count among the *other*
-sentences.  Per (group, n, gram) we keep the largest count, how many
-sentences hold it and the second largest: the leave-one-out maximum is the
-second largest when the sentence is the only holder of the largest, else
-the largest.  Both are hash aggregates with map-side combining, so a group
-of any size is never gathered in one place and no pairs are formed.
+sentences: the second of its group's counts of that n-gram in falling order
+for the sentence that comes first, the first one for every other.  The
+n-grams are exchanged once, by (group, n, gram), so a group is spread over
+the cluster; no pairs are formed.
+
+Joins between tables that grow are stated as merge joins: n-grams are made
+from texts row by row, which the planner's size estimates do not see, and it
+would collect a table many times its estimate to broadcast it.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ METHOD4_K = 5.0
 # --- end of fixed values ---
 
 
-def sentence_ngrams(df: DataFrame, keys: list[str], text: str, max_order: int = MAX_ORDER) -> DataFrame:
-    """``(keys..., n, gram, c)``: n-gram counts per sentence."""
+def sentence_ngrams(df: DataFrame, keys: list[str], text: str, max_order: int = MAX_ORDER, by: list[str] | None = None) -> DataFrame:
+    """``(keys..., n, gram, c)``: n-gram counts per sentence, spread by (``by``,
+    n, gram) if given, some of the keys."""
     w = df.select(*keys, split_words(text).alias("__w"))
     grams = F.array(*[F.struct(F.lit(n).alias("__n"), ngrams("__w", n).alias("__g"))
                       for n in range(1, max_order + 1)])
     e = w.select(*keys, F.inline(grams)).select(*keys, F.col("__n").alias("n"), F.explode("__g").alias("gram"))
+    if by is not None:
+        e = e.repartition(*by, "n", "gram")
     return e.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -45,17 +51,13 @@ def sentence_lengths(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def leave_one_out_max(counts: DataFrame, group: list[str], sent: list[str]) -> DataFrame:
     """For each sentence's n-gram, the largest count among the other
     sentences of its group (0 when none holds it)."""
-    gk = [*group, "n", "gram"]
-    top = counts.groupBy(*gk).agg(F.max("c").alias("m1"))
-    # One row per gram on the other side of each join; both joins keep the aggregates' partitioning.
-    j = counts.join(top, gk)
-    stats = j.groupBy(*gk).agg(
-        F.first("m1").alias("m1"),
-        F.sum((F.col("c") == F.col("m1")).cast("long")).alias("holders"),
-        F.coalesce(F.max(F.when(F.col("c") < F.col("m1"), F.col("c"))), F.lit(0)).alias("m2"))
-    out = counts.join(stats, gk)
-    loo = F.when((F.col("c") == F.col("m1")) & (F.col("holders") == 1), F.col("m2")).otherwise(F.col("m1"))
-    return out.select(*group, *[s for s in sent if s not in group], "n", "gram", "c", loo.alias("ref_max"))
+    known = counts
+    for c in group:
+        known = known.where(F.col(c).isNotNull())
+    falling = Window.partitionBy(*group, "n", "gram").orderBy(F.col("c").desc())
+    first = F.row_number().over(falling) == 1
+    loo = F.when(first, F.coalesce(F.lead("c").over(falling), F.lit(0))).otherwise(F.first("c").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return known.select(*group, *[s for s in sent if s not in group], "n", "gram", "c", loo.alias("ref_max"))
 
 
 def closest_other_length(lengths: DataFrame, group: list[str], sent: list[str]) -> DataFrame:
@@ -65,7 +67,7 @@ def closest_other_length(lengths: DataFrame, group: list[str], sent: list[str])
     w = Window.partitionBy(*group).orderBy("hyp_len")
     hist = hist.select(*group, "hyp_len", "k", F.lag("hyp_len").over(w).alias("lo"),
                        F.lead("hyp_len").over(w).alias("hi"))
-    j = lengths.join(hist, [*group, "hyp_len"])
+    j = lengths.join(hist.hint("merge"), [*group, "hyp_len"])
     L = F.col("hyp_len")
     pick = (F.when(F.col("k") >= 2, L)
             .when(F.col("lo").isNull(), F.col("hi"))
@@ -105,14 +107,14 @@ def bleu_from_counts(per_order: DataFrame, keys: list[str], max_order: int = MAX
 def self_bleu_scores(df: DataFrame, group: list[str], sent: list[str], text: str) -> DataFrame:
     """Per-sentence self-BLEU: ``(group..., sent..., bleu)``."""
     keys = list(dict.fromkeys([*group, *sent]))
-    counts = sentence_ngrams(df, keys, text)
+    counts = sentence_ngrams(df, keys, text, by=group)
     loo = leave_one_out_max(counts, group, keys)
     num = loo.groupBy(*keys, "n").agg(F.sum(F.least("c", "ref_max")).alias("num"), F.sum("c").alias("den"))
     lengths = sentence_lengths(df, keys, text)
     refl = closest_other_length(lengths, group, keys)
     orders = refl.crossJoin(F.broadcast(df.sparkSession.range(1, MAX_ORDER + 1)
                                         .select(F.col("id").cast("int").alias("n"))))  # 4 rows
-    per = orders.join(num, [*keys, "n"], "left")
+    per = orders.join(num.hint("merge"), [*keys, "n"], "left")
     return bleu_from_counts(per, keys)
 
 

@@ -75,7 +75,7 @@ def _conv(spark: SparkSession, d: str) -> DataFrame:
 @register("leave_one_out_refs", sql=f"WITH {SQL_SELF} SELECT conv_id, turn, n, gram, c, ref_max FROM loo")
 def q_leave_one_out_refs(spark: SparkSession, d: str) -> DataFrame:
     """Per sentence n-gram, the largest count among the other sentences."""
-    counts = TX.sentence_ngrams(_conv(spark, d), ["conv_id", "turn"], "text")
+    counts = TX.sentence_ngrams(_conv(spark, d), ["conv_id", "turn"], "text", by=["conv_id"])
     return TX.leave_one_out_max(counts, ["conv_id"], ["conv_id", "turn"])
 
 
@@ -139,4 +139,4 @@ def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
     sb = TX.self_bleu(c, ["conv_id"], ["turn"], "text")
     div = c.select("conv_id", token_diversity(split_words("text")).alias("dv")).groupBy("conv_id") \
         .agg(F.avg("dv").alias("diversity"))
-    return finish(sb.join(div, "conv_id"))
+    return finish(sb.join(div.hint("merge"), "conv_id"))  # both grow with the conversations

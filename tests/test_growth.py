@@ -2,8 +2,9 @@
 
 import os
 
+
+
 import pytest
-from pyspark.sql import functions as F
 
 from helixframe.operators import text as TX
 
@@ -28,3 +29,22 @@ def test_leave_one_out_never_collects_a_table_of_ngrams(spark):
     assert "Broadcast" not in _plan(loo)
     scores = _plan(TX.self_bleu_scores(df, ["g"], ["s"], "text"))
     assert "BroadcastHashJoin" not in scores
+
+
+def test_drops_are_few_and_whole(spark, monkeypatch, tmp_path):
+    from datetime import datetime, timedelta
+
+    from helixframe.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "DROP_ROWS", 5)
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=7 * i), i) for i in range(400)] + [(None, 400)]
+    src = spark.createDataFrame(rows, "ts timestamp, i int").repartition(8)
+    drops = str(tmp_path / "drops")
+    Q._drop_in_time_order(src, "ts", drops)
+    folders = sorted(os.listdir(drops))
+    found = [[f for f in os.listdir(f"{drops}/{x}") if f.endswith(".parquet")] for x in folders]
+    assert 3 <= len(folders) <= 20 and all(len(f) == 1 for f in found)  # a micro-batch each
+    parts = [[r.i for r in spark.read.parquet(f"{drops}/{x}").collect()] for x in folders]
+    assert sorted(i for p in parts for i in p) == list(range(400))
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    assert Q._n_drops(10**9) == Q._n_drops(10**8) and Q._n_drops(0) == 3

@@ -14,9 +14,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType
 
 
@@ -57,18 +60,46 @@ def grouped_pair_apply(long: DataFrame, keys: list[str], fn: Callable[[np.ndarra
     """X2 over long-form input ``(keys..., side in {'a','b'}, pos, vector)``.
 
     Each group is one (id, pair): two bounded matrices, so no group grows
-    with the table."""
-    schema = ", ".join([f"{k} {t}" for k, t in long.select(*keys).dtypes] + [f"{name} double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        a = np.vstack(pdf.loc[pdf["side"] == "a", "vector"].to_numpy())
-        b = np.vstack(pdf.loc[pdf["side"] == "b", "vector"].to_numpy())
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row[name] = float(fn(a, b))
-        return pd.DataFrame([row])
-
-    return long.groupBy(*keys).applyInPandas(run, schema)
+    with the table.  The groups are many and small: they are brought together
+    by one exchange and sort, and a task goes through its sorted rows batch by
+    batch, cutting them into groups where the keys change."""
+    spread = long.repartition(*keys).select(F.struct(*keys).alias("k"), F.col("side"), F.col("pos"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rows = spread.sortWithinPartitions("k", "side", "pos")
+    schema = long.select(*keys, F.lit(0.0).alias(name)).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        def values(table: pa.Table, first: np.ndarray, end: np.ndarray):
+            vectors = table["vector"].combine_chunks()
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            offs = np.append(0, np.cumsum(np.diff(vectors.offsets.to_numpy())))
+            is_b = pc.equal(table["side"], "b").to_numpy(zero_copy_only=False).astype(bool)
+            out = []
+            for i, j in zip(first.tolist(), end.tolist()):
+                m = i + int(np.count_nonzero(~is_b[i:j]))
+                out.append(float(fn(flat[offs[i]:offs[m]].reshape(m - i, -1), flat[offs[m]:offs[j]].reshape(j - m, -1))))
+            keyed = table["k"].combine_chunks().take(pa.array(first))
+            return pa.RecordBatch.from_arrays([*keyed.flatten(), pa.array(out, pa.float64())], schema=arrow)
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            k = table["k"].combine_chunks()
+            changed = np.zeros(len(k), bool)
+            for column in k.flatten():
+                code = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= code[1:] != code[:-1]
+            first = np.append(0, np.flatnonzero(changed))
+            if len(first) > 1:
+                yield values(table, first[:-1], first[1:])
+            held = table.slice(int(first[-1]))
+        if held is not None and held.num_rows:
+            yield values(held, np.array([0]), np.array([held.num_rows]))
+
+    return rows.mapInArrow(run, schema)
 
 
 def mean_cosine(a: np.ndarray, b: np.ndarray) -> float:

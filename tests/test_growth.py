@@ -48,3 +48,22 @@ def test_drops_are_few_and_whole(spark, monkeypatch, tmp_path):
     assert sorted(i for p in parts for i in p) == list(range(400))
     assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
     assert Q._n_drops(10**9) == Q._n_drops(10**8) and Q._n_drops(0) == 3
+
+
+def test_pairs_of_many_groups_need_no_call_per_group(spark):
+    import numpy as np
+
+    from helixframe.functions.udf import grouped_pair_apply
+
+    rows = [(g if g % 50 else None, p, side, i, [float(g % 7 + i), float(p == 'x'), 1.0 if side == "a" else -2.0])
+            for g in range(1, 400) for p in ("x", "y") for side, k in (("a", 1 + g % 3), ("b", 2)) for i in range(k)]
+    df = spark.createDataFrame(rows, "id long, pair string, side string, pos int, vector array<double>")
+    out = grouped_pair_apply(df, ["id", "pair"], lambda a, b: float((a @ b.T).sum()) + 100 * len(a))
+    assert "FlatMapGroupsInPandas" not in _plan(out)
+    sides = {}
+    for g, p, side, i, v in rows:
+        sides.setdefault((g, p), {"a": [], "b": []})[side].append((i, v))
+    stack = lambda x: np.array([v for _, v in sorted(x)])
+    want = {k: float((stack(s["a"]) @ stack(s["b"]).T).sum()) + 100 * len(s["a"]) for k, s in sides.items()}
+    got = {(r.id, r.pair): r.value for r in out.collect()}
+    assert got == pytest.approx(want) and len(got) == out.count()

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.tokens import ngrams, split_words
+from helixframe.operators.ranking import _parts
 
 # --- fixed values (published definition) ---
 MAX_ORDER = 4
@@ -125,12 +126,20 @@ def self_bleu(df: DataFrame, group: list[str], sent: list[str], text: str) -> Da
 
 def reference_join(hyp: DataFrame, ref: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Clipped n-gram matches of each hypothesis against its one
-    reference, an equi-join of the two count tables on (keys, n, gram)."""
-    h = sentence_ngrams(hyp, keys, text)
-    r = sentence_ngrams(ref, keys, text).withColumnRenamed("c", "rc")
-    j = h.join(r, [*keys, "n", "gram"], "left")
-    return j.groupBy(*keys, "n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("num"),
-                                     F.sum("c").alias("den"))
+    reference, their n-gram counts joined on (keys, n, gram).
+
+    Both sides' texts are brought together by ``keys`` first, and each n-gram
+    meets its counterpart as one group: texts are exchanged, n-grams never.
+    Null keys match none."""
+    sides = hyp.select(*keys, text, F.lit(True).alias("__hyp")).unionByName(ref.select(*keys, text, F.lit(False).alias("__hyp")))
+    spread = sides.repartition(_parts(hyp, None), *keys)  # a number of its own: the n-grams are many times the texts
+    counts = sentence_ngrams(spread, [*keys, "__hyp"], text)
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    j = counts.groupBy(*keys, "n", "gram").agg(F.sum(F.when(F.col("__hyp"), F.col("c"))).alias("c"), F.sum(F.when(~F.col("__hyp") & known, F.col("c"))).alias("rc"))
+    return j.where(F.col("c").isNotNull()).groupBy(*keys, "n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("num"),
+                                                                   F.sum("c").alias("den"))
 
 
 def corpus_bleu(hyp: DataFrame, ref: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -67,3 +67,12 @@ def test_pairs_of_many_groups_need_no_call_per_group(spark):
     want = {k: float((stack(s["a"]) @ stack(s["b"]).T).sum()) + 100 * len(s["a"]) for k, s in sides.items()}
     got = {(r.id, r.pair): r.value for r in out.collect()}
     assert got == pytest.approx(want) and len(got) == out.count()
+
+
+def test_reference_matches_exchange_texts_not_ngrams(spark):
+    hyp = spark.createDataFrame([(1, "a a b c"), (2, "a b"), (3, None), (None, "a"), (4, "x y"), (4, "x")], "k long, text string")
+    ref = spark.createDataFrame([(1, "a b c c"), (2, "z"), (3, "a"), (None, "a"), (4, "x x"), (5, "q")], "k long, text string")
+    out = TX.reference_join(hyp, ref, ["k"])
+    assert _plan(out).count("Exchange hashpartitioning") == 1
+    got = {(r.k, r.n): (r.num, r.den) for r in out.collect()}
+    assert got == {(1, 1): (3, 4), (1, 2): (2, 3), (1, 3): (1, 2), (1, 4): (0, 1), (2, 1): (0, 2), (2, 2): (0, 1), (None, 1): (0, 1), (4, 1): (2, 3), (4, 2): (0, 1)}

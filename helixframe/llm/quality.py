@@ -2,10 +2,10 @@
 trusted text gives each document a perplexity, and quantiles of it by language
 give the thresholds.
 
-Fit: a sample of trusted documents of at most ``train_bytes`` of text
-(expected; the rest of the trusted documents, at least half, calibrates the
-thresholds).  Raw trigram counts and the continuation counts of lower orders
-are joined with their context's totals and stored in shards by n-gram hash.
+Fit: all trusted documents are used, one half by hash of the id for the counts,
+the other, which the model has not seen, for the thresholds.  Raw trigram counts and the continuation counts of lower orders
+are joined with their context's totals and stored in shards by n-gram hash,
+as many as the text learnt from needs.
 Score: blocks of whole documents ask the shards for their distinct n-grams and
 evaluate order 3 down to the uniform floor for unknown words.  The driver sees
 counts of counts and a filter of 8 MiB, which spares asking for most n-grams
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import Spans, mix, pack, pack_sorted, remove, scratch, stored, text_chunks, unpack, unpack_sorted, word_spans
 
-TRAIN_BYTES = 12 << 20
-SHARD_BITS, SLOT_BITS = 6, 20  # 64 shards; the filter has a bit for 2 ** 26 ranges of hashes
+SHARD_BYTES = 2 << 20  # text learnt from per shard
+SHARD_BITS, MOST_BITS, FILTER_BITS = 6, 16, 26  # at least 64 shards; the filter has a bit for 2 ** 26 ranges of hashes
 BLOCK_BYTES, ASKED_BLOCKS = 4 << 20, 64
 SENT = np.uint64(18)  # requests leave out the last bits of a hash: 46 tell n-grams apart
 BROADCAST_IDS = 500_000  # more trusted ids than these are joined by a shuffle
@@ -91,7 +91,7 @@ STATS = ("n", "own", "n1", "n2", "n3")
 MESSAGE_ROWS = 400_000
 
 
-def _messages(factor: int | None):
+def _messages(factor: int | None, bits: int):
     """Model rows (context c, word w, statistics) as packed arrays by shard;
     the n-gram's hash is that of (c, w), or w alone without a ``factor``."""
     def flush(parts):
@@ -99,7 +99,7 @@ def _messages(factor: int | None):
         stats = [np.concatenate([p[1 + k] for p in parts]) for k in range(len(STATS))]
         order = np.argsort(key)
         key, stats = key[order], [x[order] for x in stats]
-        cut = np.searchsorted(_shard_of(key), np.arange((1 << SHARD_BITS) + 1))
+        cut = np.searchsorted(_shard_of(key, bits), np.arange((1 << bits) + 1))
         full = np.flatnonzero(np.diff(cut)).tolist()
         packed = [[pack_sorted(key[cut[s]:cut[s + 1]]) for s in full], *([pack(x[cut[s]:cut[s + 1]]) for s in full] for x in stats)]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["shard", "keys", *STATS])
@@ -128,17 +128,21 @@ def _messages(factor: int | None):
 _PACKED = ", ".join(f"{c} binary" for c in ("keys", *STATS))
 
 
-def _shard_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
+def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _pack_shard(table: pa.Table) -> pa.Table:
+def _pack_shard(bits: int):
     """A shard of the model as one row: ascending keys, their statistics, and which slots of the filter they use."""
+    return lambda table: _packed_shard(table, bits)
+
+
+def _packed_shard(table: pa.Table, bits: int) -> pa.Table:
     every = np.concatenate([unpack_sorted(b) for b in table["keys"].to_pylist()])
     keys, at = np.unique(every, return_inverse=True)
     stats = [np.bincount(at, np.concatenate([unpack(b) for b in table[c].to_pylist()]), len(keys)).astype(np.int32) for c in STATS]
-    slots = np.zeros(1 << SLOT_BITS, bool)
-    slots[((keys >> np.uint64(64 - SHARD_BITS - SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)] = True
+    slots = np.zeros(1 << (FILTER_BITS - bits), bool)
+    slots[((keys >> np.uint64(64 - FILTER_BITS)) & np.uint64((1 << (FILTER_BITS - bits)) - 1)).astype(np.int64)] = True
     row = [pack_sorted(keys), *map(pack, stats), np.packbits(slots).tobytes()]
     return pa.Table.from_arrays([pa.array([table["shard"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "keys", *STATS, "slots"])
 
@@ -179,22 +183,22 @@ class Model:
     """A stored table with one packed row per shard of n-gram hashes, the
     constants of :class:`Found`, and a filter of fixed size that names nearly all absent n-grams."""
 
-    def __init__(self, table: DataFrame, constants: tuple):
-        self.table, self.constants = table, constants
-        slots = np.zeros((1 << SHARD_BITS, 1 << SLOT_BITS >> 3), np.uint8)
+    def __init__(self, table: DataFrame, constants: tuple, bits: int):
+        self.table, self.constants, self.bits = table, constants, bits
+        slots = np.zeros((1 << bits, 1 << (FILTER_BITS - bits) >> 3), np.uint8)
         for r in table.select("shard", "slots").toLocalIterator():
             slots[r.shard] = np.frombuffer(r.slots, np.uint8)
         self.slots = slots.ravel()
 
     def logp(self, *grams) -> np.ndarray:
         """log10 probabilities of a few tokens, from the shards that have their n-grams."""
-        shard = np.unique(_shard_of(np.concatenate(grams))).tolist()
+        shard = np.unique(_shard_of(np.concatenate(grams), self.bits)).tolist()
         rows = sorted(self.table.where(F.col("shard").isin(shard)).select("shard", "keys", *STATS).collect())
         return Found(np.concatenate([unpack_sorted(r.keys) for r in rows]), [np.concatenate([unpack(r[c]) for r in rows]) for c in STATS], self.constants).logp(*grams)
 
 
-def fit(trusted_docs: DataFrame) -> Model | None:
-    """The model of a set of texts in column ``t``; all counts and tables stay
+def fit(trusted_docs: DataFrame, bits: int = SHARD_BITS) -> Model | None:
+    """The model of a set of texts in column ``t`` in ``2 ** bits`` shards; all counts and tables stay
     in Spark.  One exchange by context serves an order's counts and totals."""
     spark = trusted_docs.sparkSession
     counts = scratch(spark, "counts")
@@ -212,12 +216,12 @@ def fit(trusted_docs: DataFrame) -> Model | None:
     zero = [F.lit(0).cast("long").alias(c) for c in ("n1", "n2", "n3")]
     alone = uni.select(F.col("w").alias("c"), "w", "n", F.lit(0).cast("long").alias("total"), *zero, F.lit(False).alias("head"))
     columns, schema = ["c", "w", "n", "total", "n1", "n2", "n3", "head"], f"shard int, {_PACKED}"
-    every = tri.select(columns).mapInArrow(_messages(_THREE), schema)
+    every = tri.select(columns).mapInArrow(_messages(_THREE, bits), schema)
     for table, factor in ((bi.select(columns), _TWO), (alone, None)):
-        every = every.unionByName(table.mapInArrow(_messages(factor), schema))
-    table = stored(every.groupBy("shard").applyInArrow(_pack_shard, f"shard int, {_PACKED}, slots binary"), "model")
+        every = every.unionByName(table.mapInArrow(_messages(factor, bits), schema))
+    table = stored(every.groupBy("shard").applyInArrow(_pack_shard(bits), f"shard int, {_PACKED}, slots binary"), "model")
     remove(spark, counts)  # the model has all of it
-    return Model(table, (*d, free / total / (words + 1), total))
+    return Model(table, (*d, free / total / (words + 1), total), bits)
 
 
 # --------------------------------------------------------------- scoring
@@ -266,22 +270,22 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def _asked(grams, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _asked(grams, slots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-grams that the filter lets through, ascending, and
     where each shard's begin."""
     w, _, two, _, three = grams
     keys = _distinct(np.concatenate([w, two, three, [_B1, _B2]]))  # every context is one of these
-    slot = keys >> np.uint64(64 - SHARD_BITS - SLOT_BITS)
+    slot = keys >> np.uint64(64 - FILTER_BITS)
     keys = keys[(slots[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 > 0]
-    return keys, np.searchsorted(_shard_of(keys), np.arange((1 << SHARD_BITS) + 1))
+    return keys, np.searchsorted(_shard_of(keys, bits), np.arange((1 << bits) + 1))
 
 
-def _ask(slots):
+def _ask(slots, bits: int):
     def run(batches):
         for batch in batches:
             for block, lens, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "lens", "texts"))):
                 *grams, _ = _opened(lens, texts)
-                keys, cut = _asked(grams, slots.value)
+                keys, cut = _asked(grams, slots.value, bits)
                 full = np.flatnonzero(np.diff(cut)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([pack_sorted(keys[cut[s]:cut[s + 1]] >> SENT) for s in full], pa.binary())],
                                                  names=["shard", "block", "keys"])
@@ -306,17 +310,17 @@ def _answer(model: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), *[pa.binary()] * (1 + len(STATS))))], names=["block", "shard", "keys", *STATS])
 
 
-def _score(constants: tuple, slots):
+def _score(constants: tuple, slots, bits: int):
     schema = pa.schema([("i", pa.int64()), ("l", pa.string()), ("n", pa.int64()), ("s", pa.float64())])
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return schema.empty_table()
         *grams, per = _opened(blocks["lens"][0].as_py(), blocks["texts"][0].as_py())
-        keys, cut = _asked(grams, slots.value)
+        keys, cut = _asked(grams, slots.value, bits)
         got = {r["shard"]: r for r in answers.to_pylist()}
         hit, stats = [np.zeros(0, bool)], [[np.zeros(0, np.int32)] for _ in STATS]
-        for s in range(1 << SHARD_BITS):
+        for s in range(1 << bits):
             n = int(cut[s + 1] - cut[s])
             if n and s in got:
                 hit.append(np.unpackbits(np.frombuffer(got[s]["keys"], np.uint8), count=n).astype(bool))
@@ -340,26 +344,26 @@ def score(text: DataFrame, model: Model) -> DataFrame:
     for, each with its copy of the shard."""
     slots = text.sparkSession.sparkContext.broadcast(model.slots)  # a fixed number of bits
     blocks = stored(text.mapInArrow(_blocks, "block long, i array<long>, l array<string>, lens binary, texts binary"), "blocks")
-    deals = -(-blocks.count() // ASKED_BLOCKS) or 1
-    asked = blocks.select("block", "lens", "texts").mapInArrow(_ask(slots), "shard int, block long, keys binary")
+    deals = -(-blocks.count() // (ASKED_BLOCKS << (model.bits - SHARD_BITS))) or 1
+    asked = blocks.select("block", "lens", "texts").mapInArrow(_ask(slots, model.bits), "shard int, block long, keys binary")
     asked = asked.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)))
     copies = model.table.select("shard", "keys", *STATS).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)).cast("array<long>")))
     answers = copies.groupBy("shard", "deal").cogroup(asked.groupBy("shard", "deal")).applyInArrow(_answer, _ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model.constants, slots), "i long, l string, n long, s double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model.constants, slots, model.bits), "i long, l string, n long, s double")
 
 
 def quality_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   train_bytes: int = TRAIN_BYTES, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, least: int = LEAST) -> DataFrame:
+                   quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, least: int = LEAST) -> DataFrame:
     """``doc_id, lang, n_words, log10_prob, perplexity, threshold, accepted``
     per input row; ``trusted`` has the ids of trusted documents in its first column."""
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("l"), F.col(text_col).cast("string").alias("t"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("i")).where("i is not null").distinct()
     sizes = text.select("i", F.octet_length("t").alias("b")).join(ids, "i", "left_semi").agg(F.sum("b")).first()[0] or 0
-    share = min(0.5, train_bytes / max(1, sizes))
-    chosen = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    bits = min(MOST_BITS, max(SHARD_BITS, (-(-sizes // 2 // SHARD_BYTES)).bit_length()))
+    chosen = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(2)) == 0
     fits = ids.where(chosen)
     few = F.broadcast(fits) if fits.count() <= BROADCAST_IDS else fits
-    model = fit(text.select("i", "t").where(chosen).join(few, "i", "left_semi"))
+    model = fit(text.select("i", "t").where(chosen).join(few, "i", "left_semi"), bits)
     if model is None:
         words = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), r"[ \t-\r]+"), lambda x: x != ""))
         return text.select(F.col("i").alias("doc_id"), F.col("l").alias("lang"), words.cast("long").alias("n_words"), F.lit(None).cast("double").alias("log10_prob"),

@@ -360,7 +360,7 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("i")).where("i is not null").distinct()
     sizes = text.select("i", F.octet_length("t").alias("b")).join(ids, "i", "left_semi").agg(F.sum("b")).first()[0] or 0
     bits = min(MOST_BITS, max(SHARD_BITS, (-(-sizes // 2 // SHARD_BYTES)).bit_length()))
-    chosen = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(2)) == 0
+    chosen = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 20)) < F.lit(1 << 19)
     fits = ids.where(chosen)
     few = F.broadcast(fits) if fits.count() <= BROADCAST_IDS else fits
     model = fit(text.select("i", "t").where(chosen).join(few, "i", "left_semi"), bits)

@@ -76,3 +76,34 @@ def test_reference_matches_exchange_texts_not_ngrams(spark):
     assert _plan(out).count("Exchange hashpartitioning") == 1
     got = {(r.k, r.n): (r.num, r.den) for r in out.collect()}
     assert got == {(1, 1): (3, 4), (1, 2): (2, 3), (1, 3): (1, 2), (1, 4): (0, 1), (2, 1): (0, 2), (2, 2): (0, 1), (None, 1): (0, 1), (4, 1): (2, 3), (4, 2): (0, 1)}
+
+
+def test_half_of_the_trusted_texts_is_learnt_from_however_long(spark, monkeypatch):
+    from helixframe.llm import quality
+
+    rows = [(i, " ".join(f"w{(i * 31 + j) % 997}" for j in range(2000)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").crossJoin(spark.range(60).withColumnRenamed("id", "k"))
+    docs = docs.selectExpr("doc_id + 40 * k AS doc_id", "text", "lang")  # 28 MB
+    seen = {}
+
+    def fit(texts, *bits):
+        seen["n"], seen["bits"] = texts.count(), bits
+        return None
+
+    monkeypatch.setattr(quality, "fit", fit)
+    quality.quality_scores(docs, docs.select("doc_id"))
+    assert 1050 < seen["n"] < 1350 and seen["bits"] == (6,)
+    monkeypatch.setattr(quality, "SHARD_BYTES", 1 << 14)
+    quality.quality_scores(docs, docs.select("doc_id"))
+    assert seen["bits"][0] > 6
+
+
+def test_more_shards_give_the_same_scores(spark):
+    import numpy as np
+
+    from helixframe.llm import quality
+
+    texts = spark.createDataFrame([(" ".join(f"w{(i * 7 + j * j) % 53}" for j in range(30)),) for i in range(20)], "t string")
+    rows = spark.createDataFrame([(1, "en", "w1 w2 w4 w9 zz"), (2, "en", "w7 w8")], "i long, l string, t string")
+    got = [{r.i: r.s for r in quality.score(rows, quality.fit(texts, bits)).collect()} for bits in (6, 9)]
+    assert len(got[0]) == 2 and all(np.isclose(got[0][i], got[1][i], rtol=1e-12) for i in got[0])

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from helixframe.functions.tokens import (CLS_ID, CONTINUATION_PREFIX, MASK_ID, M
                                          SEP_ID, SPECIAL_TOKENS, add_special, attention_mask, pad_right,
                                          split_words, truncate_tokens, uniform_draw)
 from helixframe.operators.ranking import global_row_number
+from helixframe.session import stored
+
+BLOCK_VALUES = 1_000_000      # values of whole rows that are looked up together
 
 # --- fixed values (published defaults) ---
 DEFAULT_STEPS = 2000          # sampling steps
@@ -41,7 +46,11 @@ def build_vocabulary(words: DataFrame) -> DataFrame:
     ``(word, n, token_id, is_continuation)``.  The ranking is a range-partitioned
     global row number, not a single-partition window.
     """
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return rank_words(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def rank_words(counts: DataFrame) -> DataFrame:
+    """The vocabulary from ``(word, n)``."""
     ranked = global_row_number(counts, [F.col("n").desc(), F.col("word").asc()], "rn")
     return ranked.select("word", "n", (F.col("rn") + N_SPECIAL - 1).cast("int").alias("token_id"),
                          F.col("word").startswith(CONTINUATION_PREFIX).alias("is_continuation"))
@@ -57,23 +66,123 @@ def full_vocabulary(words: DataFrame) -> DataFrame:
     return special_vocabulary(words.sparkSession).unionByName(build_vocabulary(words))
 
 
-def encode_long(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Word -> id by an equi-join on the word.
-
-    The vocabulary grows with the corpus, so neither a broadcast nor an
-    in-memory hash build is forced: the join spills, and AQE builds a hash
-    table only where every measured partition is small.  A very frequent word is a skewed probe key that AQE's
-    skew-join split handles.
-    """
-    return words.join(vocab.select("word", "token_id"), "word") \
-        .select("row_id", "pos", "token_id")
-
+# ---------------------------------------------------------------- blocks
+def value_blocks(arrays: DataFrame, key: str, values: str) -> DataFrame:
+    """Rows of arrays as stored blocks of whole rows, about ``BLOCK_VALUES``
+    values each: the rows' ``key``s and lengths, the block's distinct values with
+    their counts, and a code per value.  Rows without values are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in arrays.select(key, values).schema}
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
 
-def collect_ordered(long: DataFrame, key: str, pos: str, value: str, name: str) -> DataFrame:
-    """Long form back to one ordered array per key (one row's worth per group)."""
-    return long.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))),
-                    lambda s: s["v"]).alias(name))
+        def emit():
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            flat = pa.concat_arrays([b.column(1).flatten() for b in held]).dictionary_encode(null_encoding="encode")
+            codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+            lens = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held]).astype(np.int32)
+            counts = pa.array([np.bincount(codes, minlength=len(flat.dictionary)).astype(np.int64)], pa.list_(pa.int64()))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, flat.dictionary)]
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (lens, codes)]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 33) + seq], pa.int64()), *lists, counts, *packed], names=["block", "ids", "values", "counts", "lens", "codes"])
+
+        for batch in batches:
+            offs, i = batch.column(1).offsets.to_numpy(), 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_VALUES - n, "right")) - 1)
+                held.append(batch.slice(i, j - i))
+                n, i = n + int(offs[j] - offs[i]), j
+                if n >= BLOCK_VALUES:
+                    yield emit()
+                    held, n, seq = [], 0, seq + 1
+        if held:
+            yield emit()
+
+    schema = f"block long, ids array<{kinds[key]}>, values {kinds[values]}, counts array<long>, lens binary, codes binary"
+    return stored(arrays.where(F.size(values) > 0).select(key, values).mapInArrow(run, schema), "blocks")
+
+
+def block_counts(blocks: DataFrame, value: str = "word") -> DataFrame:
+    """``(value, n)`` of all distinct values, from their counts by block."""
+    each = blocks.select(F.inline(F.arrays_zip(F.col("values").alias(value), F.col("counts").alias("n"))))
+    return each.groupBy(value).agg(F.sum("n").alias("n"))
+
+
+def look_up(blocks: DataFrame, table: DataFrame, value: str, columns: list[str], key: str = "row_id") -> DataFrame:
+    """``key`` and, for each of ``columns``, the array of what ``table`` has for
+    the row's values (null where it has none).
+
+    Blocks ask for their distinct values by an equi-join on ``value``, whose
+    rows are unique in ``table``, and put the answers into place: no row per
+    value is exchanged, and neither a broadcast nor an in-memory hash build of
+    the table, which grows with the corpus, is forced."""
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    ids = blocks.schema["ids"].dataType.simpleString()[len("array<"):-1]
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.schema([(key, block.schema.field("ids").type.value_type), *((c, pa.list_(found.schema.field(c).type)) for c in columns)]).empty_table()
+        lens, codes = (np.frombuffer(block[c][0].as_py(), np.int32) for c in ("lens", "codes"))
+        at = _places(found, len(block["values"][0]))
+        offs = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
+        out = {key: block["ids"].combine_chunks().flatten()}
+        for c in columns:
+            out[c] = pa.ListArray.from_arrays(offs, found[c].combine_chunks().take(at).take(pa.array(codes)))
+        return pa.table(out)
+
+    schema = ", ".join([f"{key} {ids}", *(f"{c} array<{kinds[c]}>" for c in columns)])
+    return blocks.drop("counts").groupBy("block").cogroup(_answers(blocks, table, value, columns).groupBy("asker")).applyInArrow(run, schema)
+
+
+def _answers(blocks: DataFrame, table: DataFrame, value: str, columns: list[str]) -> DataFrame:
+    asked = blocks.select(F.col("block").alias("asker"), F.posexplode("values").alias("i", value))
+    return asked.join(table.select(value, *columns), value).select("asker", "i", *columns)
+
+
+def _places(found: pa.Table, n: int) -> pa.Array:
+    """Where the answers to a block's ``n`` distinct values are; null: nowhere."""
+    place = np.full(n, -1)
+    place[found["i"].to_numpy()] = np.arange(found.num_rows)
+    return pa.array(place, mask=place < 0)
+
+
+def encode_blocks(blocks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Word -> id on blocks: stored blocks of the same rows whose values are
+    ids, one for each distinct word."""
+    ids = blocks.schema["ids"].dataType.simpleString()
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        at = _places(found, len(block["values"][0]))
+        values = found["token_id"].combine_chunks().take(at)
+        return block.set_column(block.schema.get_field_index("values"), "values", pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+
+    answers = _answers(blocks, vocab, "word", ["token_id"])
+    return stored(blocks.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(run, f"block long, ids {ids}, values array<int>, counts array<long>, lens binary, codes binary"), "encoded")
+
+
+def encode_arrays(blocks: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Word -> id: ``row_id, token_id`` as one array a row, in order, and
+    arrays of further columns of ``vocab``."""
+    return look_up(blocks, vocab, "word", ["token_id", *keep])
+
+
+def arrays_long(arrays: DataFrame, columns: list[str], key: str = "row_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, pos, column ..., carry ...)`` of arrays of equal lengths and the
+    rows' other columns ``carry``.  Rows are exchanged by the key while they
+    are arrays, which a window over the key then shares."""
+    first, *more = columns
+    long = arrays.repartition(key).select("*", F.posexplode(first).alias("pos", "__v"))
+    return long.select(key, "pos", F.col("__v").alias(first), *[F.get(c, F.col("pos")).alias(c) for c in more], *carry)
+
+
+def merge_ordered(arrays: DataFrame, key: str, values: str, name: str) -> DataFrame:
+    """One array per key; rows that share a key are merged by position, then value."""
+    numbered = F.transform("__parts", lambda p: F.transform(p, lambda v, i: F.struct(i.alias("p"), v.alias("v"))))
+    merged = F.transform(F.array_sort(F.flatten(numbered)), lambda s: s["v"])
+    parts = arrays.groupBy(key).agg(F.collect_list(values).alias("__parts"))
+    return parts.select(key, F.when(F.size("__parts") == 1, F.col("__parts")[0]).otherwise(merged).alias(name))
 
 
 # ------------------------------------------------------------ statistics

@@ -107,3 +107,31 @@ def test_more_shards_give_the_same_scores(spark):
     rows = spark.createDataFrame([(1, "en", "w1 w2 w4 w9 zz"), (2, "en", "w7 w8")], "i long, l string, t string")
     got = [{r.i: r.s for r in quality.score(rows, quality.fit(texts, bits)).collect()} for bits in (6, 9)]
     assert len(got[0]) == 2 and all(np.isclose(got[0][i], got[1][i], rtol=1e-12) for i in got[0])
+
+
+def test_tokens_meet_the_vocabulary_by_block(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from helixframe.operators import tokens as T
+    from helixframe.plans import token_queries as TQ
+
+    monkeypatch.setattr(T, "BLOCK_VALUES", 7)
+    texts = [(1, "b a  b C ##d"), (2, None), (3, " \t"), (4, "a " * 20), (None, "C a"), (None, "b b"), (1, "a e b"), (5, "É a\nb")]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in texts], pa.int64()), "text": [t for _, t in texts]}), tmp_path / "documents.parquet")
+    words = [(i, p, w) for i, t in texts for p, w in enumerate((t or "").split())]
+    count = {}
+    for _, _, w in words:
+        count[w] = count.get(w, 0) + 1
+    ids = {w: 5 + k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w)))}
+    want = {}
+    for i, p, w in words:
+        want.setdefault(i, []).append((p, ids[w], w))
+    blocks = TQ._blocks(spark, str(tmp_path))
+    assert blocks.count() > 2 and sum(len(r["codes"]) // 4 for r in blocks.collect()) == len(words)
+    arrays = TQ._token_arrays(spark, str(tmp_path))
+    assert {r.row_id: r.tokens for r in arrays.collect()} == {i: [t for _, t, _ in sorted(x)] for i, x in want.items()}
+    decoded = TQ.q_decode_tokens(spark, str(tmp_path))
+    assert {r.row_id: r.sentence for r in decoded.collect()} == {i: " ".join(w for _, w in sorted((p, w) for p, _, w in x)) for i, x in want.items()}
+    kept = TQ.q_freq_aware_keep_prob(spark, str(tmp_path))
+    assert sorted((str(r.row_id), r.pos) for r in kept.collect()) == sorted((str(i), p) for i, p, _ in words)

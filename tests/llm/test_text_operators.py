@@ -221,6 +221,70 @@ def test_katz_is_brute_force_and_normalised(spark, docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def katz_trigrams(rows, p2, k=5):
+    """Katz trigrams in plain Python, on top of the bigrams' p2."""
+    tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    tri = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            d = ["<s>", *tok(t)]
+            tri.update(zip(d, d[1:], d[2:]))
+    disc = katz.discounts([0, *(sum(c == r for c in tri.values()) for r in range(1, k + 2))], k)
+    less = lambda c: (disc[c] if c <= k else 1.0) * c
+    follow = defaultdict(dict)
+    for (a, b, w), c in tri.items():
+        follow[a, b][w] = c
+    model = {}
+    for (a, b), f in follow.items():
+        lost = sum(c - less(c) for c in f.values())
+        den = sum(f.values()) + (0 if lost else 1)
+        model[a, b] = ({w: less(c) / den for w, c in f.items()}, (lost or 1) / den / (1 - sum(p2(b, w) for w in f)))
+
+    def p(a, b, w):
+        if (a, b) not in model:
+            return p2(b, w)
+        seen, alpha = model[a, b]
+        return seen[w] if w in seen else alpha * p2(b, w)
+
+    return [(i, sum(math.log10(p2("<s>", w) if j == 0 else p(["<s>", *d][j - 1], d[j - 1], w)) for j, w in enumerate(d))) for i, d in ((i, tok(t)) for i, t in rows)], p, model, tri
+
+
+def test_katz_of_order_3_is_brute_force_and_normalised(spark):
+    rng = random.Random(8)
+    few = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(few, [1 / (r + 1) for r in range(40)], k=rng.randrange(0, 60)))) for i in range(150)]
+    rows += [(i + 200, f"only{i} here V1 v2 {'v3 ' * (i % 9)}") for i in range(20)] + [(300, None), (301, ""), (302, "all unknown words"), (9, "v1 v2 v3"), (9, "v1 v2 v3"), (303, "v1 v2 " * 12), (304, "v7 v1 v2 v1 v2")]
+    _, p2, uni, _ = katz_brute(rows)
+    want, p, model, tri = katz_trigrams(rows, p2)
+    for a, b in list(model)[:60]:
+        assert abs(sum(p(a, b, w) for w in uni) + p(a, b, "never seen") - 1) < 1e-9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, tables = katz.score_corpus(docs, block_tokens=600, order=3)
+    got = sorted((r.doc_id, r.score) for r in got.collect())
+    assert [i for i, _ in got] == sorted(i for i, _ in rows)
+    for (_, score), (_, brute) in zip(got, sorted(want)):
+        assert score == pytest.approx(brute, rel=1e-9, abs=1e-12)
+    stored = [katz.unpack(r.d) for r in tables.where("order = 3").collect()]
+    assert sorted(c for s in stored for c in s.tolist()) == sorted(tri.values())
+
+
+def test_katz_of_order_3_beats_order_2_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two, three = (katz.score_corpus(docs, order=o)[0].where("held_out").agg({"score": "sum"}).first()[0] for o in (2, 3))
+    assert three > two
+
+
+def test_katz_query_asks_triples_of_words(spark):
+    from helixframe.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.score for r in katz.score_corpus(docs, order=3)[0].collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op8_katz_backoff"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    with pytest.raises(ValueError, match="order"):
+        katz.score_corpus(docs, order=4)
+
+
 def test_katz_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = katz.score_corpus(docs)[0].where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()

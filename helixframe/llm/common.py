@@ -36,6 +36,16 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """:func:`stored` in ``buckets`` by ``key``: groups by it are read in place, not exchanged."""
+    spark = df.sparkSession
+    name = f"llm_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", scratch(spark, tag)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name; the files stay
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a scratch folder that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

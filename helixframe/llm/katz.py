@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import long_ids, mix, pack, pack_sorted, shard_cuts, shards, stored, text_chunks, unpack, unpack_sorted, word_hashes
+from helixframe.llm.common import long_ids, mix, pack, pack_sorted, shard_cuts, shards, stored, stored_by, text_chunks, unpack, unpack_sorted, word_hashes
 
 BLOCK_TOKENS = 2_000_000
 K = 5
@@ -83,11 +83,20 @@ class Unigram:
 # ------------------------------------------------------------ blocks
 
 
+def _by_frequency(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by falling count (of equal ones the first), and the places by rank."""
+    order = np.argsort(-count.astype(np.int64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank, order
+
+
 def _blocks(folds: int, fold: int, tokens: int):
     """Whole documents as blocks: ids, tokens per document, the block's
-    distinct words and their learnt counts, and a word code per token."""
-    names = ["block", "ids", "lens", "held", "words", "counts", "codes"]
-    kinds = [pa.int64(), *[pa.binary()] * 6]
+    distinct words, their learnt counts and counts, and a word code per token: the
+    word's rank by count, which packs better than its place."""
+    names = ["block", "ids", "lens", "held", "words", "counts", "totals", "codes"]
+    kinds = [pa.int64(), *[pa.binary()] * 7]
 
     def run(batches):
         from pyspark import TaskContext
@@ -97,10 +106,11 @@ def _blocks(folds: int, fold: int, tokens: int):
         def emit(ids, lens, hashes):
             ids, lens, h = map(np.concatenate, (ids, lens, hashes))
             held = np.fromiter((held_out(i, folds, fold) for i in ids.tolist()), bool, len(ids))
-            words, codes = np.unique(h, return_inverse=True)
+            words, codes, total = np.unique(h, return_inverse=True, return_counts=True)
             learnt = np.repeat(~held, lens)
             counts = np.bincount(codes[learnt], minlength=len(words))
-            row = [(part << 24) + seq, pack(ids), pack(lens.astype(np.int32)), pack(held.astype(np.uint8)), pack_sorted(words), pack(counts.astype(np.uint32)), pack(codes.astype(np.uint32))]
+            row = [(part << 24) + seq, pack(ids), pack(lens.astype(np.int32)), pack(held.astype(np.uint8)), pack_sorted(words), pack(counts.astype(np.uint32)), pack(total.astype(np.uint32)),
+                   pack(_by_frequency(total)[0][codes].astype(np.uint32))]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
         ids, lens, hashes, held = [], [], [], 0
@@ -117,7 +127,7 @@ def _blocks(folds: int, fold: int, tokens: int):
         if ids:
             yield emit(ids, lens, hashes)
 
-    return run, "block long, ids binary, lens binary, held binary, words binary, counts binary, codes binary"
+    return run, "block long, ids binary, lens binary, held binary, words binary, counts binary, totals binary, codes binary"
 
 
 def _word_messages(n: int):
@@ -142,23 +152,26 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
 
 
-def _count_words(n: int, k: int):
+def _count_words(n: int, k: int, keep: bool):
     """One shard of the vocabulary: its table (block -1) and an answer to each
     block, in the order of the words it asked for: ids and counts."""
     def run(table: pa.Table) -> pa.Table:
-        shard = int(table["shard"][0].as_py())
+        shard, blocks = int(table["shard"][0].as_py()), table["block"].to_pylist()
         asked = [unpack_sorted(x) for x in table["words"].to_pylist()]
         words, where = np.unique(np.concatenate(asked), return_inverse=True)
         count = np.bincount(where, np.concatenate([unpack(x) for x in table["counts"].to_pylist()]), len(words)).astype(np.int64)
         known = count > 0
-        local = np.cumsum(known) - 1
-        if len(words) and int(local[-1]) * n + shard >= BEGIN:
+        local = _by_frequency(count)[0]  # small ids for frequent words; unknown ones come last
+        if int(known.sum()) * n + shard >= BEGIN:
             raise OverflowError("the vocabulary needs wider word ids")
         ids = np.where(known, local * n + shard, UNKNOWN).astype(np.uint32)
         stats = [int(count.sum()), int(known.sum()), *(int((count == r).sum()) for r in range(1, k + 2))]
-        rows = [(1, shard, -1, pack_sorted(words[known]), pack(ids[known]), pack(count[known].astype(np.uint32)), None, stats)]
+        j = int(np.searchsorted(words, END_HASH))
+        ends = int(count[j]) if j < len(words) and words[j] == END_HASH else 0
+        table = (pack_sorted(words[known]), pack(ids[known]), pack(count[known].astype(np.uint32)), None) if keep else [None] * 4
+        rows = [(1, shard, -1, *table, [*stats, ends])]
         at = 0
-        for block, w in zip(table["block"].to_pylist(), asked):
+        for block, w in zip(blocks, asked):
             x = where[at:at + len(w)]
             at += len(w)
             rows.append((1, shard, block, pack(ids[x]), pack(count[x].astype(np.uint32)), None, None, None))
@@ -177,7 +190,7 @@ def _named(block: dict, answers: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(block: dict, ids: np.ndarray, learnt_only: bool = False):
     """(context id, word id) of every token as one integer."""
-    codes, lens = unpack(block["codes"]), unpack(block["lens"])
+    codes, lens = _by_frequency(unpack(block["totals"]))[1][unpack(block["codes"])], unpack(block["lens"])
     w = ids[codes]
     h = np.empty_like(w)
     h[1:] = w[:-1]
@@ -211,7 +224,7 @@ def _pair_messages(n: int):
     return run
 
 
-def _count_pairs(k: int, total: int, n1: list[int]):
+def _count_pairs(k: int, total: int, n1: list[int], keep: bool):
     """One shard of contexts: the merged pairs (block -1) and, for each block,
     the counts of its pairs and for its contexts how many followers occur
     r = 1..k times and the unigram mass of all followers."""
@@ -233,7 +246,7 @@ def _count_pairs(k: int, total: int, n1: list[int]):
             few[r - 1] = np.bincount(at[c == r], minlength=len(ctx))
         mass = np.bincount(at, uni.p(of[seen]), len(ctx))
         stats = [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, k + 2))]
-        rows = [(2, shard, -1, pack_sorted(pair[seen]), pack(c.astype(np.uint32)), None, None, stats)]
+        rows = [(2, shard, -1, *((pack_sorted(pair[seen]), pack(c.astype(np.uint32))) if keep else (None, None)), None, None, stats)]
         i = 0
         for block, p, hs in zip(table["block"].to_pylist(), asked, table["d"].to_pylist()):
             hs = unpack_sorted(hs)
@@ -353,7 +366,7 @@ def _triple_messages(n: int, k: int, total: int, n1: list[int], n2: list[int], b
     return run
 
 
-def _count_triples(k: int, d2: np.ndarray):
+def _count_triples(k: int, d2: np.ndarray, keep: bool):
     """One shard of context pairs: the merged triples (block -1: contexts, runs,
     words, counts) and, for each block, the counts of its triples, which contexts have
     counts of up to k, and of those that it backs off from the mass of their
@@ -376,7 +389,8 @@ def _count_triples(k: int, d2: np.ndarray):
         mass = np.bincount(at, _discounted(lower[seen], d2, k) / whole[at], len(ctx))
         per = np.bincount(at, minlength=len(ctx))
         stats = [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, k + 2))]
-        rows = [(3, shard, -1, pack_sorted(ctx[per > 0]), pack(per[per > 0].astype(np.uint32)), pack((every[seen] & np.uint64(UNKNOWN)).astype(np.uint32)), pack(c.astype(np.uint32)), stats)]
+        merged = (pack_sorted(ctx[per > 0]), pack(per[per > 0].astype(np.uint32)), pack((every[seen] & np.uint64(UNKNOWN)).astype(np.uint32)), pack(c.astype(np.uint32))) if keep else [None] * 4
+        rows = [(3, shard, -1, *merged, stats)]
         i = j = 0
         for block, m, back in zip(table["block"].to_pylist(), runs, table["back"].to_pylist()):
             x, got = place[i:i + len(m)], count[where[j:j + int(m.sum())]]
@@ -445,51 +459,37 @@ def _score(n: int, k: int, total: int, vocabulary: int, n1: list[int], n2: list[
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, k: int = K,
-                 block_tokens: int = BLOCK_TOKENS, order: int = 2) -> tuple[DataFrame, DataFrame]:
+                 block_tokens: int = BLOCK_TOKENS, order: int = 2, keep_model: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(scores, model).  scores: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score``.  model: the stored count tables, one
     row per order and shard, packed: order 1 has word hashes, ids and counts;
     order 2 has (context id << 32 | word id) and counts; order 3 has contexts
-    (word id << 32 | word id), their numbers of followers, followers' ids and counts."""
+    (word id << 32 | word id), their numbers of followers, followers' ids and counts.  Without ``keep_model`` only the scores
+    are made, and the second is None."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     n = shards(spark)
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    blocks = stored(text.mapInArrow(*_blocks(folds, fold, block_tokens)), "blocks")
+    blocks = stored_by(text.mapInArrow(*_blocks(folds, fold, block_tokens)), "block", n, "blocks")
     asked = blocks.select("block", "words", "counts").mapInArrow(_word_messages(n), "shard int, block long, words binary, counts binary")
-    vocab = stored(asked.groupBy("shard").applyInArrow(_count_words(n, k), _REPLY_SQL), "vocabulary")
+    vocab = stored(asked.groupBy("shard").applyInArrow(_count_words(n, k, keep_model), _REPLY_SQL), "vocabulary")
     stats = [F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(k + 3)]
-    total, words, *n1 = vocab.where("block = -1").agg(*stats).first()
-    n1 = [0, *n1]
-    if total:  # the end token's count is the number of documents learnt from
-        end = vocab.where("block = -1").select("a", "c").mapInArrow(_end_count, "n long").agg(F.sum("n")).first()[0]
-    else:
-        end = 0
+    total, words, *n1, end = vocab.where("block = -1").agg(*stats, F.coalesce(F.sum(F.col("n")[k + 3]), F.lit(0))).first()
+    n1 = [0, *n1]  # the end token's count is the number of documents learnt from
     named = vocab.where("block <> -1")
     sent = blocks.groupBy("block").cogroup(named.select("block", "shard", "a", "b").groupBy("block")).applyInArrow(_pair_messages(n), _REPLY_SQL)
-    pairs = stored(sent.groupBy("shard").applyInArrow(_count_pairs(k, total, n1), _REPLY_SQL), "pairs")
+    pairs = stored(sent.groupBy("shard").applyInArrow(_count_pairs(k, total, n1, keep_model), _REPLY_SQL), "pairs")
     _, _, *n2 = pairs.where("block = -1").agg(*stats).first()
     columns = ["block", "ord", "shard", "a", "b", "c", "d"]
     answers = named.unionByName(pairs.where("block <> -1")).select(columns)
-    model, constants, n3 = vocab.where("block = -1").unionByName(pairs.where("block = -1")), (n, k, total, n1, [0, *n2], end or 0), None
+    model, constants, n3 = vocab.where("block = -1").unionByName(pairs.where("block = -1")), (n, k, total, n1, [0, *n2], end), None
     if order == 3:
         sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_triple_messages(*constants), _ASKED)
-        triples = stored(sent.groupBy("shard").applyInArrow(_count_triples(k, discounts([0, *n2], k)), _REPLY_SQL), "triples")
+        triples = stored(sent.groupBy("shard").applyInArrow(_count_triples(k, discounts([0, *n2], k), keep_model), _REPLY_SQL), "triples")
         _, _, *n3 = triples.where("block = -1").agg(*stats).first()
         answers, model, n3 = answers.unionByName(triples.where("block <> -1").select(columns)), model.unionByName(triples.where("block = -1")), [0, *n3]
     scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(n, k, total, words, n1, [0, *n2], end or 0, n3), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        _score(n, k, total, words, n1, [0, *n2], end, n3), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     model = model.select(F.col("ord").alias("order"), "shard", F.col("a").alias("keys"), "b", "c", "d")
-    return scores, model
-
-
-def _end_count(batches):
-    for batch in batches:
-        n = 0
-        for a, c in zip(batch.column("a").to_pylist(), batch.column("c").to_pylist()):
-            w = unpack_sorted(a)
-            j = int(np.searchsorted(w, END_HASH))
-            if j < len(w) and w[j] == END_HASH:
-                n += int(unpack(c)[j])
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+    return scores, model if keep_model else None

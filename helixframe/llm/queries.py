@@ -60,7 +60,7 @@ def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_corpus(_table(spark, sf_dir, "documents"), order=3)[0]
+    return katz.score_corpus(_table(spark, sf_dir, "documents"), order=3, keep_model=False)[0]
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

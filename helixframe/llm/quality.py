@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Spans, mix, pack, pack_sorted, remove, scratch, stored, text_chunks, unpack, unpack_sorted, word_spans
+from helixframe.llm.common import Spans, mix, pack, pack_sorted, remove, scratch, shards, stored, stored_by, text_chunks, unpack, unpack_sorted, word_spans
 
 SHARD_BYTES = 2 << 20  # text learnt from per shard
 SHARD_BITS, MOST_BITS, FILTER_BITS = 6, 16, 26  # at least 64 shards; the filter has a bit for 2 ** 26 ranges of hashes
@@ -341,9 +341,9 @@ def score(text: DataFrame, model: Model) -> DataFrame:
 
     Blocks of documents ask the shards for the n-grams that the filter does not
     exclude; a shard's requests are dealt to as many tasks as there are blocks
-    for, each with its copy of the shard."""
+    for, each with its copy of the shard.  The texts stay where they are stored."""
     slots = text.sparkSession.sparkContext.broadcast(model.slots)  # a fixed number of bits
-    blocks = stored(text.mapInArrow(_blocks, "block long, i array<long>, l array<string>, lens binary, texts binary"), "blocks")
+    blocks = stored_by(text.mapInArrow(_blocks, "block long, i array<long>, l array<string>, lens binary, texts binary"), "block", shards(text.sparkSession), "blocks")
     deals = -(-blocks.count() // (ASKED_BLOCKS << (model.bits - SHARD_BITS))) or 1
     asked = blocks.select("block", "lens", "texts").mapInArrow(_ask(slots, model.bits), "shard int, block long, keys binary")
     asked = asked.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)))

@@ -5,6 +5,7 @@ import os
 
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import text as TX
 
@@ -135,3 +136,18 @@ def test_tokens_meet_the_vocabulary_by_block(spark, monkeypatch, tmp_path):
     assert {r.row_id: r.sentence for r in decoded.collect()} == {i: " ".join(w for _, w in sorted((p, w) for p, _, w in x)) for i, x in want.items()}
     kept = TQ.q_freq_aware_keep_prob(spark, str(tmp_path))
     assert sorted((str(r.row_id), r.pos) for r in kept.collect()) == sorted((str(i), p) for i, p, _ in words)
+
+
+def test_blocks_of_texts_are_not_exchanged(spark):
+    """Scores of op 4 and op 8: answers go to the stored blocks, not blocks to the answers."""
+    from helixframe.llm import katz, quality
+
+    docs = spark.createDataFrame([(i, f"some words w{i % 9} and w{i % 7} " * 5, "en") for i in range(60)], "doc_id long, text string, lang string").repartition(3)
+    model = quality.fit(docs.select(F.col("text").alias("t")))
+    scores = quality.score(docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("text").alias("t")), model)
+    for df, column in ((scores, "texts"), (katz.score_corpus(docs, order=3)[0], "codes")):
+        plan = df._jdf.queryExecution().executedPlan()
+        assert df.count() == 60
+        text = plan.toString()
+        left = text[text.index("FlatMapCoGroupsInArrow"):text.index("Bucketed: true")]
+        assert column in left and "Exchange" not in left

@@ -103,6 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     n, m = rows.count(), asks.count()
     cand = blocks(rows, n, ROW_BLOCK)
     ask = blocks(asks, m, QUERY_BLOCK).select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // ROW_BLOCK)) - 1))).alias("b"))
-    found = cand.join(ask, ["dim", "b"]).repartition(F.xxhash64("qids", "b")).mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    # Stated as a merge: the query blocks are repeated for every row block, far beyond what is estimated for them.
+    found = cand.join(ask.hint("merge"), ["dim", "b"]).repartition(F.xxhash64("qids", "b")).mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return stored(found, "topk").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -151,3 +151,19 @@ def test_blocks_of_texts_are_not_exchanged(spark):
         text = plan.toString()
         left = text[text.index("FlatMapCoGroupsInArrow"):text.index("Bucketed: true")]
         assert column in left and "Exchange" not in left
+
+
+def test_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """Op 2 repeats the query blocks for every row block: they are never sent through the driver."""
+    from helixframe.llm import topk
+
+    monkeypatch.setattr(topk, "ROW_BLOCK", 64)
+    monkeypatch.setattr(topk, "stored", lambda df, tag: df)
+    df = spark.createDataFrame([(i, [float(i * 7 % 13), float(i * 5 % 11)]) for i in range(600)], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, df.where("vec_id % 50 = 0"), k=3, scale=1.0)
+    rows = out.collect()
+    vec = {i: (i * 7 % 13, i * 5 % 11) for i in range(600)}
+    for q in range(0, 600, 50):
+        want = sorted((-(vec[q][0] * v[0] + vec[q][1] * v[1]), i) for i, v in vec.items() if i != q)[:3]
+        assert [(-r.score, r.vec_id) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] == want
+    assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out)

@@ -167,3 +167,42 @@ def test_query_blocks_are_not_broadcast(spark, monkeypatch):
         want = sorted((-(vec[q][0] * v[0] + vec[q][1] * v[1]), i) for i, v in vec.items() if i != q)[:3]
         assert [(-r.score, r.vec_id) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] == want
     assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out)
+
+
+def test_wide_rows_are_stored_in_small_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from helixframe.session import stored
+
+    rows = [(i, os.urandom(5 << 20)) for i in range(12)]
+    back = stored(spark.createDataFrame(rows, "i long, b binary").coalesce(1), "wide-test", wide=True)
+    (name,) = [f for f in back.inputFiles()]
+    (path,) = glob.glob(name.removeprefix("file://"))
+    meta = pq.ParquetFile(path).metadata
+    assert meta.num_rows == 12 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 6
+    assert {r.i: r.b for r in back.collect()} == dict(rows)
+
+
+def test_tokens_are_centred_and_followed_as_arrays(spark):
+    """No window or sort meets a row per token, unless rows share an id."""
+    from helixframe.operators import tokens as T
+
+    rows = [(1, [0.1, 0.5, 0.9], [False, True, False], [True, True, False]), (2, [], [], []), (3, [0.25], [True], [True]), (4, [0.5, 0.0], [True, False], [False, True]),
+            (5, [0.5, 0.25], [True, False], [False, True]), (5, [0.5, 0.25], [True, False], [False, True]), (None, [1.0, 0.0, 0.5], [False, True, True], [True, False, True])]
+    df = spark.createDataFrame(rows, "row_id int, wf array<double>, masked array<boolean>, is_continuation array<boolean>").repartition(3)
+    long = T.arrays_long(df, ["wf", "masked", "is_continuation"])
+    key = lambda r: [str(x) for x in r]
+    centred = T.arrays_long(T.centred_word_freq(df), ["wf_centred"])
+    plan = _plan(centred)
+    assert plan.index("Generate") < plan.index("Window")
+    want = sorted(T.centred_word_freq(long).select("row_id", "pos", "wf_centred").collect(), key=key)
+    got = sorted(centred.collect(), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    columns = ["row_id", "pos", "masked", "is_continuation", "ww_masked"]
+    followed = T.whole_word_mask(df.drop("wf")).select(columns)
+    assert sorted(followed.collect(), key=key) == sorted(T.whole_word_mask(long).select(columns).collect(), key=key)
+    noised = [sorted(T.arrays_long(T.corrupt(df.withColumn("token_id", F.transform("wf", lambda x, i: i + 7)).withColumn("t", F.lit(3)), 42, "wf"), ["token_id", "noised"]).collect(), key=key),
+              sorted(T.corrupt(long.withColumn("token_id", F.col("pos") + 7).withColumn("t", F.lit(3)), 42, "wf").select("row_id", "pos", "token_id", "noised").collect(), key=key)]
+    assert noised[0] == noised[1]

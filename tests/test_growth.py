@@ -206,3 +206,46 @@ def test_tokens_are_centred_and_followed_as_arrays(spark):
     noised = [sorted(T.arrays_long(T.corrupt(df.withColumn("token_id", F.transform("wf", lambda x, i: i + 7)).withColumn("t", F.lit(3)), 42, "wf"), ["token_id", "noised"]).collect(), key=key),
               sorted(T.corrupt(long.withColumn("token_id", F.col("pos") + 7).withColumn("t", F.lit(3)), 42, "wf").select("row_id", "pos", "token_id", "noised").collect(), key=key)]
     assert noised[0] == noised[1]
+
+
+def _letters_table(path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    parts = [word(40) for _ in range(6)]
+    docs = [(i, r.choice(parts) + word(i % 9) + r.choice(parts)) for i in range(80)]
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", list(enumerate(parts)))):
+        pq.write_table(pa.table({key: pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}), f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_hits_are_stored_compressed(spark, monkeypatch, tmp_path):
+    from helixframe.plans import io_queries as IO
+    from helixframe.plans import select_queries as SQ
+    from helixframe.plans import stream_queries as Q
+
+    d = _letters_table(tmp_path)
+    monkeypatch.setattr(IO, "_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(Q, "_dirs", lambda spark, name: tuple(f"{tmp_path}/{x}" for x in ("drops", "sink", "checkpoint")))
+    monkeypatch.setattr(Q, "FILE_ROWS", 20)
+    hits = sorted(map(str, SQ.q_kmer_seed_join(spark, d).collect()))
+    assert sorted(map(str, IO.q_scan_hits(spark, d).collect())) == hits and len(hits) > 150
+    best = SQ.q_first_hit_per_query(spark, d)
+    assert sorted(map(str, Q.q_stream_first_hit(spark, d).select(best.columns).collect())) == sorted(map(str, best.collect()))
+    batches = {r.batch_id for r in spark.read.parquet(f"{tmp_path}/sink").collect()}
+    for folder in ("hits", "drops"):
+        files = [f for f in os.listdir(f"{tmp_path}/{folder}") if f.startswith("part-")]
+        assert files and all(f.endswith(".gz") for f in files)
+    assert len(files) > len(batches)  # a drop is several files
+
+
+def test_chains_are_gathered_without_sequences(spark, tmp_path):
+    from helixframe.plans import select_queries as SQ
+
+    plan = _plan(SQ.q_kmer_seed_join(spark, _letters_table(tmp_path)))
+    below = plan[plan.rindex("ObjectHashAggregate"):]
+    assert "q_seq" not in below[:below.index("Generate inline")]
